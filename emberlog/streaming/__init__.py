@@ -1,0 +1 @@
+"""Package of the streaming layer."""
