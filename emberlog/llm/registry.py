@@ -7,7 +7,7 @@ from functools import lru_cache
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.llm import bpe, decontam, html_text, licenses, quality, secrets, simhash, token_store, url_rules
+from emberlog.llm import audio, bpe, decontam, html_text, licenses, quality, secrets, simhash, token_store, url_rules
 from emberlog.llm.common import table
 
 
@@ -28,6 +28,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op4_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds sound: each vector of `embeddings` is rendered as a recording."""
+    found = audio.fingerprints_of_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return audio.matched(found).withColumnRenamed("id", "vec_id")
+
+
 def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.report(table(spark, sf_dir, "pages"))
 
@@ -52,7 +58,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_byte_bpe, op3_secret_scan, op5_url_rules, op6_decontamination, op7_simhash, op8_licenses, op9_quality, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_byte_bpe, op3_secret_scan, op4_chroma, op5_url_rules, op6_decontamination, op7_simhash, op8_licenses, op9_quality, op10_html_text)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLE_SQL: dict[str, str] = {"op5_url_rules": url_rules.ORACLE_SQL}
