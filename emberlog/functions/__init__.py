@@ -1 +1 @@
-"""Package of the functions layer."""
+"""Column builders: rule vocabularies and text functions."""

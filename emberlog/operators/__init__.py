@@ -1 +1 @@
-"""Package of the operators layer."""
+"""Operators over DataFrames: incidents, graph context, actions, gate, metrics, training rows."""
