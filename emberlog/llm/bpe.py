@@ -80,7 +80,7 @@ class MinimalPerfectHash:
 class Codec:
     """A vocabulary of ranks with its pattern. `memo_limit` bounds the pieces that are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_limit: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_limit: int = 100_000):
         self.ranks, self.pattern, self.memo_limit = ranks, pattern, memo_limit
         keys = list(ranks)
         self.hash = MinimalPerfectHash(keys)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +38,27 @@ def utf8(column) -> F.Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("binary")
 
 
+def sliced(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about limit bytes of text, a longer row by itself: what a worker holds stays small."""
+    for batch in batches:
+        if batch.nbytes <= limit or batch.num_rows < 2:
+            yield batch
+            continue
+        size = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                ends = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + batch.num_rows + 1]
+                size += np.diff(ends)
+        part = np.cumsum(size) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(begin, end - begin)
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package importable on the workers."""
+    """mapInArrow over slices of bounded size, with this package importable on the workers."""
     ensure_importable(df.sparkSession)
-    return df.mapInArrow(rows, schema)
+    return df.mapInArrow(lambda batches: rows(sliced(batches)), schema)
 
 
 def clash_free(df: DataFrame, *wanted: str) -> DataFrame:

@@ -37,7 +37,7 @@ _WORKERS: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Ids of a tokenizers vocabulary that drops white space, one word at a time."""
 
-    def __init__(self, definition: str, memo_limit: int = 600_000):
+    def __init__(self, definition: str, memo_limit: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
