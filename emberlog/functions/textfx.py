@@ -7,21 +7,64 @@ tests that most texts fail quickly.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from emberlog.functions.dims import least
+from emberlog.functions.dims import TRIMMED, least
 
 #: White space, for use inside a character class.
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = r"[\p{L}\p{N}_]"
 #: A word boundary.
 B = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+_CLASSES = {"d": r"\p{Nd}", "s": WS}
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+def java(pattern: str, ignore_case: bool = False) -> str:
+    r"""A Python pattern for Java: \b, \d, \s and $ get Python's meaning.
+
+    A repeated class before a literal that it lacks takes all it can at once (possessive), which
+    changes no match and keeps long runs linear.
+    """
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            e = pattern[i + 1]
+            if e == "b":
+                out.append(B)
+            elif e in _CLASSES:
+                out.append(_CLASSES[e] if inside or e == "d" else f"[{_CLASSES[e]}]")
+            else:
+                out.append(c + e)
+            i += 2
+            continue
+        inside = c == "[" or inside and c != "]"
+        out.append(r"(?=\n?\z)" if c == "$" and not inside else c)
+        i += 1
+    made = re.sub(r"(\[[^\]^][^\]]*\]\+)(\\\.|/)", lambda m: m[0] if m[2][-1] in m[1] else f"{m[1]}+{m[2]}", "".join(out))
+    return f"(?iu){made}" if ignore_case else made
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for a row even where lambdas inside body use it.
+
+    The optimizer puts a column's expression where the column stands; inside a lambda it would then
+    run for every element.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def held(value: Column) -> Column:
+    """value, computed as a whole: its fields are not computed anew wherever one is read."""
+    return let(value, lambda x: x)
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, F.lit(rf"\A[{WS}]++|[{WS}]++\z"), F.lit(""))
@@ -41,7 +84,7 @@ def extract_all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def distinct_values(values: Column) -> Column:
     """Cleaned values (white space, then brackets and punctuation off both ends), non-empty, first ones kept, in order."""
-    cleaned = F.transform(values, lambda x: F.btrim(strip(x), F.lit(".,;()[]{}'")))
+    cleaned = F.transform(values, lambda x: F.btrim(strip(x), F.lit(TRIMMED)))
     return F.array_distinct(F.filter(cleaned, lambda x: x != ""))
 
 
@@ -78,3 +121,9 @@ def split_clean(text: Column, pattern: str) -> Column:
 def non_empty(value: Column, otherwise: Column | str) -> Column:
     other = F.lit(otherwise) if isinstance(otherwise, str) else otherwise
     return F.when(value != "", value).otherwise(other)
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with {names} filled by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p].cast("string") if k % 2 else F.lit(p) for k, p in enumerate(parts)])

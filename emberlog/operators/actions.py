@@ -7,21 +7,12 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import dims
 from emberlog.functions.records import ITEM, parsed_items
-from emberlog.functions.textfx import WS, B, best_group, extract_all, first_sentence_with, non_empty, rstrip, split_clean, strip
-from emberlog.runtime import ensure_importable
-
-_NAMED = "account|bucket|container|database|domain|endpoint|file|firewall|host|node|pod|process|router|server|service|subnet|switch|url|user|vlan|vm|workstation"
-TARGETS = (
-    rf"{B}(?:\p{{Nd}}{{1,3}}\.){{3}}\p{{Nd}}{{1,3}}{B}",
-    rf"{B}[0-9A-Za-z%+._-]+@[0-9A-Za-z.-]+\.[A-Za-z]{{2,}}{B}",
-    rf"{B}(?:{_NAMED})[ :=]+[0-9A-Za-z@._:/-]+",
-    rf"{B}[A-Za-z]:\\[^{WS},;]+",
-    r"/(?:[0-9A-Za-z._-]++/)+[0-9A-Za-z._-]++",
-    rf"{B}[0-9A-Za-z][0-9A-Za-z._-]+\.(?:conf|dll|exe|log|py|service|sh){B}",
-)
-_WORDS = "|".join([*dims.COMMAND_WORDS, *(f"{v}-[A-Za-z]+" for v in dims.SHELL_VERBS)])
-QUOTED = "`([^`]+)`"
-COMMANDS = rf"(?iu){B}(?:sudo[{WS}]+)?(?:{_WORDS}){B}[^.;\n]*"
+from emberlog.functions.textfx import WS, best_group, extract_all, first_sentence_with, held, java, non_empty, rstrip, split_clean, strip
+from emberlog.runtime import ensure_importable, exploded
+
+TARGETS = tuple(map(java, dims.TARGET_PATTERNS))
+QUOTED = java(dims.QUOTED_COMMAND_PATTERN)
+COMMANDS = java(dims.COMMAND_PATTERN, True)
 ACTION = "struct<action_type:string,target:array<string>,command:array<string>,precondition:string,risk:string,rollback:string,evidence:array<string>,source_action:string,source_explanation:string>"
 ACTION_FIELDS = ("action_type", "target", "command", "precondition", "risk", "rollback", "evidence", "source_action", "source_explanation")
 
@@ -86,10 +77,10 @@ def with_action(df: DataFrame, item: str = "item", into: str = "action") -> Data
         at["source_action"].alias("source_action"),
         at["source_explanation"].alias("source_explanation"),
     )
-    return shown.withColumn(into, action).drop("__text", "__evidence")
+    return shown.withColumn(into, held(action)).drop("__text", "__evidence")
 
 
 def parse_actions(df: DataFrame, generation: str = "generation", kind: str | None = None) -> DataFrame:
     """One row for each action of each generation: df's columns, action_index, action."""
-    exploded = with_items(df, generation, kind).select(*[F.col(f"`{c}`") for c in df.columns], F.posexplode("items").alias("action_index", "item"))
-    return with_action(exploded).withColumn("action_index", F.col("action_index").cast("long")).drop("item")
+    items = exploded(with_items(df, generation, kind), "items", "item", *df.columns, place="action_index")
+    return with_action(items).withColumn("action_index", F.col("action_index").cast("long")).drop("item")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.functions import dims
+from emberlog.functions.textfx import let
 from emberlog.operators.gate import any_finding, validate
 
 RATES = ("hallucinated_action_rate", "incorrect_command_rate", "unsafe_action_rate")
-ID_KEYS = ("id", "record_id", "incident_id", "prompt_id")
 
 
 def evaluate_actions(records: DataFrame, as_of_year: int, index: str = "record_index", **options) -> DataFrame:
@@ -22,7 +23,7 @@ def evaluate_actions(records: DataFrame, as_of_year: int, index: str = "record_i
     path = any_finding(F.col("findings"), lambda f: f["category"] == "attack_path", lambda f: f["evidence"] != "")
     unsafe = any_finding(F.col("findings"), lambda f: f["category"] == "policy_constraint", lambda f: f["severity"] == "error")
     named = F.transform(F.filter("findings", lambda f: (f["category"] == "command_syntax") & (f["evidence"] != "")), lambda f: f["evidence"])
-    wrong = F.filter(F.col("action")["command"], lambda c: F.array_contains(named, c))
+    wrong = let(named, lambda bad: F.filter(F.col("action")["command"], lambda c: F.array_contains(bad, c)))
     return judged.withColumns({
         "hallucinated": cve | path,
         "unsafe": unsafe,
@@ -51,7 +52,7 @@ def report(records: DataFrame, details: DataFrame, by: tuple[str, ...] = ()) ->
 
 def record_id(df: DataFrame) -> Column:
     """The first of the id columns that is there and not null, as text."""
-    there = [F.col(f"`{c}`").cast("string") for c in ID_KEYS if c in df.columns]
+    there = [F.col(f"`{c}`").cast("string") for c in dims.ID_KEYS if c in df.columns]
     return F.coalesce(*there) if there else F.lit(None).cast("string")
 
 
@@ -89,7 +90,7 @@ def compare_reports(reports: DataFrame, baseline: str, candidate: str, model: st
     )
 
 
-def compare_models(baseline: DataFrame, candidate: DataFrame, as_of_year: int, names: tuple[str, str] = ("base", "kg_rag_finetuned"), **options) -> DataFrame:
+def compare_models(baseline: DataFrame, candidate: DataFrame, as_of_year: int, names: tuple[str, str] = ("baseline", "candidate"), **options) -> DataFrame:
     """Check the pairing, evaluate both sides in one pass and compare."""
     validate_paired(baseline, candidate)
     columns = [c for c in baseline.columns if c in candidate.columns]

@@ -10,24 +10,15 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import dims
 from emberlog.functions.records import shell_heads
-from emberlog.functions.textfx import WS, B, extract_all
+from emberlog.functions.textfx import extract_all, filled, java, let
 from emberlog.operators.actions import ACTION, parse_actions
 from emberlog.operators.incident import CVE
 from emberlog.runtime import ensure_importable
 
 FINDING = "struct<category:string,severity:string,message:string,evidence:string>"
-_D = r"\p{Nd}"
-SHORT_CVE = rf"(?iu){B}CVE-{_D}{{4}}-{_D}{{1,3}}{B}|{B}CVE-{_D}{{2,3}}-{_D}{{4,7}}{B}"
-TECHNIQUE = rf"(?iu){B}T{_D}{{4}}(?:\.{_D}{{3}})?{B}"
-HIGH_RISK = (
-    (rf"(?iu){B}rm[{WS}]+-rf[{WS}]+/(?:[{WS}]|\z)", "recursive deletion of filesystem root"),
-    (rf"(?iu){B}dd{B}[^\n;]*{B}of=/dev/(?:nvme|sd|vd|xvd)", "raw disk overwrite"),
-    (rf"(?iu){B}mkfs(?:\.[0-9a-z]+)?{B}", "filesystem formatting"),
-    (rf"(?iu){B}(?:reboot|shutdown){B}", "host shutdown or reboot"),
-    (rf"(?iu){B}(?:ufw[{WS}]+disable|iptables[{WS}]+-F){B}", "firewall policy flush or disable"),
-    (rf"(?iu){B}kill[{WS}]+-9[{WS}]+1{B}", "terminating init/system process"),
-)
-FIRST_CVE_YEAR = 1999
+SHORT_CVE = java(dims.MALFORMED_CVE_PATTERN, True)
+TECHNIQUE = java(dims.TECHNIQUE_PATTERN, True)
+_SAID = dims.MESSAGES
 
 
 def _finding(category: str, severity: str, message: Column | str, evidence: Column | str = "") -> Column:
@@ -74,16 +65,16 @@ def context_stages(context: Column) -> Column:
 def cve_findings(text: Column, trusted: Column, as_of_year: int, require_match: bool) -> Column:
     short = F.array_sort(F.array_distinct(extract_all(text, SHORT_CVE)))
     named = _upper_set(extract_all(text, CVE))
-    malformed = F.transform(short, lambda t: _finding("cve_authenticity", "error", "Malformed CVE identifier.", F.upper(t)))
+    malformed = F.transform(short, lambda t: _finding("cve_authenticity", "error", _SAID["malformed_cve"], F.upper(t)))
 
-    def judged(cve: Column) -> Column:
+    def judged(cve: Column, trusted: Column) -> Column:
         year = F.split_part(cve, F.lit("-"), F.lit(2)).try_cast("int")
-        far = _finding("cve_authenticity", "error", "CVE year is outside the plausible public CVE range.", cve)
-        unknown = _finding("cve_authenticity", "warning", "CVE was not present in KG-RAG context or allow-list; verify before using it as evidence.", cve)
+        far = _finding("cve_authenticity", "error", _SAID["cve_year"], cve)
+        unknown = _finding("cve_authenticity", "warning", _SAID["unknown_cve"], cve)
         doubtful = (F.size(trusted) > 0) & ~F.array_contains(trusted, cve) if require_match else F.lit(False)
-        return F.when((year < FIRST_CVE_YEAR) | (year > as_of_year + 1), far).when(doubtful, unknown)
+        return F.when((year < dims.FIRST_CVE_YEAR) | (year > as_of_year + 1), far).when(doubtful, unknown)
 
-    found = F.concat(malformed, F.array_compact(F.transform(named, judged)))
+    found = F.concat(malformed, let(trusted, lambda t: F.array_compact(F.transform(named, lambda cve: judged(cve, t)))))
     return F.when(text.rlike("(?iu)CVE-"), found).otherwise(_none())
 
 
@@ -103,36 +94,34 @@ def with_heads(df: DataFrame, commands: Column, into: str) -> DataFrame:
 
 
 def command_findings(commands: Column, heads: Column) -> Column:
-    def judged(command: Column, i: Column) -> Column:
-        head = F.get(heads, i)
+    def judged(command: Column, head: Column) -> Column:
         known = F.array_contains(F.array(*map(F.lit, dims.EXECUTABLES)), head["head"])
-        verb = F.lower(head["head"]).rlike("^(?:" + "|".join(v.lower() for v in dims.SHELL_VERBS) + ")-")
-        unreadable = _finding("command_syntax", "error", F.concat(F.lit("Command cannot be parsed safely: "), head["error"], F.lit(".")), command)
+        verb = reduce(lambda a, b: a | b, [F.startswith(F.lower(head["head"]), F.lit(p)) for p in dims.EXECUTABLE_PREFIXES])
+        unreadable = _finding("command_syntax", "error", filled(_SAID["unreadable_command"], error=head["error"]), command)
         return (
             F.when(head["error"].isNotNull(), unreadable)
-            .when(head["head"].isNull(), _finding("command_syntax", "error", "Command is empty after parsing.", command))
-            .when(~(known | verb), _finding("command_syntax", "warning", "Command executable is not in the known incident-response command allow-list.", command))
+            .when(head["head"].isNull(), _finding("command_syntax", "error", _SAID["empty_command"], command))
+            .when(~(known | verb), _finding("command_syntax", "warning", _SAID["unknown_executable"], command))
         )
 
-    return F.array_compact(F.transform(commands, judged))
+    return let(heads, lambda every: F.array_compact(F.transform(commands, lambda c, i: judged(c, F.get(every, i)))))
 
 
 def policy_findings(action: Column) -> Column:
     joined = F.array_join(action["command"], "\n")
-    blocked = [F.when(joined.rlike(p), _finding("policy_constraint", "error", f"Blocked high-risk operation: {why}.", F.regexp_extract(joined, p, 0))) for p, why in HIGH_RISK]
+    blocked = [F.when(joined.rlike(java(p, True)), _finding("policy_constraint", "error", _SAID["high_risk"].format(reason=why), F.regexp_extract(joined, java(p, True), 0))) for p, why in dims.HIGH_RISK_PATTERNS]
     destructive = action["action_type"].isin(*dims.DESTRUCTIVE_TYPES)
-    no_plan = _finding("policy_constraint", "error", "Destructive or recovery actions must include an explicit rollback/backout plan.")
-    no_proof = _finding("policy_constraint", "warning", "Destructive or recovery actions should cite evidence before execution.")
+    no_plan = _finding("policy_constraint", "error", _SAID["no_rollback"])
+    no_proof = _finding("policy_constraint", "warning", _SAID["no_evidence"])
     rest = [F.when(destructive & (action["rollback"] == ""), no_plan), F.when(destructive & (F.size(action["evidence"]) == 0), no_proof)]
     return F.array_compact(F.array(*blocked, *rest))
 
 
 def path_findings(text: Column, context: Column) -> Column:
     named, stages = _upper_set(extract_all(text, TECHNIQUE)), context_stages(context)
-    foreign = F.transform(F.array_except(named, context_techniques(context)), lambda t: _finding("attack_path", "warning", "Referenced ATT&CK technique is not linked to the incident KG path.", t))
-    low = F.lower(text)
-    told = F.exists(stages, lambda s: (s != "") & F.contains(low, F.replace(s, F.lit("_"), F.lit(" "))))
-    silent = _finding("attack_path", "warning", "Generated action does not reference the KG-RAG attack stage or ATT&CK path.")
+    foreign = F.transform(F.array_except(named, context_techniques(context)), lambda t: _finding("attack_path", "warning", _SAID["foreign_technique"], t))
+    told = let(F.lower(text), lambda low: F.exists(stages, lambda s: (s != "") & F.contains(low, F.replace(s, F.lit("_"), F.lit(" ")))))
+    silent = _finding("attack_path", "warning", _SAID["silent_path"])
     missing = F.when((F.size(stages) > 0) & (F.size(named) == 0) & ~told, F.array(silent)).otherwise(_none())
     return F.when(present(context), F.concat(foreign, missing)).otherwise(_none())
 
@@ -179,8 +168,8 @@ def process(df: DataFrame, key: str, as_of_year: int, generation: str = "generat
     found = F.flatten(F.transform("all", lambda a: a["findings"]))
     count = lambda level: F.size(F.filter(found, lambda f: f["severity"] == level)).cast("string")
     ok = F.size(blocked) == 0
-    parts = [F.lit("Post-processing "), F.when(ok, "accepted").otherwise("blocked"), F.lit(": "), F.size("all").cast("string"), F.lit(" action(s), "), F.size(blocked).cast("string"), F.lit(" blocked, "), count("error"), F.lit(" error(s), "), count("warning"), F.lit(" warning(s).")]
-    return whole.select(key, ok.alias("accepted"), kept.alias("actions"), blocked.alias("blocked_actions"), found.alias("findings"), F.concat(*parts).alias("summary"))
+    summary = filled(_SAID["summary"], status=F.when(ok, "accepted").otherwise("blocked"), total=F.size("all"), blocked=F.size(blocked), errors=count("error"), warnings=count("warning"))
+    return whole.select(key, ok.alias("accepted"), kept.alias("actions"), blocked.alias("blocked_actions"), found.alias("findings"), summary.alias("summary"))
 
 
 def any_finding(findings: Column, *tests) -> Column:

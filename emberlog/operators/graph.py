@@ -11,19 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import dims
-from emberlog.functions.textfx import non_empty
-from emberlog.runtime import materialize
+from emberlog.functions.textfx import filled, let, non_empty
+from emberlog.runtime import exploded, materialize
 
 NODE = "struct<id:string,type:string,name:string,properties:map<string,string>>"
 EDGE = "struct<source:string,relation:string,target:string>"
 
 
-def _lookup(rows: tuple, key: int = 0) -> Column:
+def _lookup(table: dict) -> Column:
     """A literal map from a key to its array of rows: a broadcast join folded into the expression."""
-    groups: dict[str, list] = {}
-    for r in rows:
-        groups.setdefault(r[key], []).append(F.array(*[F.lit(v) for v in r[1:]]))
-    return F.create_map(*[x for k, v in groups.items() for x in (F.lit(k), F.array(*v))])
+    return F.create_map(*[x for k, rows in table.items() for x in (F.lit(k), F.array(*[F.array(*map(F.lit, r)) for r in rows]))])
+
+
+TECHNIQUE_ROWS = {stage: (pair,) for stage, pair in dims.TECHNIQUES.items()}
+MITIGATION_ROWS = {stage: tuple((m,) for m in names) for stage, names in dims.MITIGATIONS.items()}
+RULE_ROWS = {service: tuple((r,) for r in names) for service, names in dims.DETECTION_RULES.items()}
 
 
 def _node(id_: Column, kind: str, name: Column, **properties: Column) -> Column:
@@ -35,7 +37,7 @@ def _edge(source: Column, relation: str, target: Column) -> Column:
     return F.struct(source.alias("source"), F.lit(relation).alias("relation"), target.alias("target"))
 
 
-def _matches(keys: Column, rows: tuple) -> Column:
+def _matches(keys: Column, rows: dict) -> Column:
     """For keys in order, the (key, row) pairs of their rows."""
     table = _lookup(rows)
     return F.flatten(F.transform(keys, lambda k: F.transform(F.coalesce(F.try_element_at(table, k), F.array().cast("array<array<string>>")), lambda r: F.struct(k.alias("key"), r.alias("row")))))
@@ -43,8 +45,9 @@ def _matches(keys: Column, rows: tuple) -> Column:
 
 def _last_of_each(nodes: Column) -> Column:
     """Nodes by id, the last written of equal ids, sorted by id."""
-    late = F.filter(nodes, lambda n, i: ~F.exists(F.slice(nodes, i + 2, F.greatest(F.size(nodes), F.lit(1))), lambda m: m["id"] == n["id"]))
-    return F.array_sort(late, lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
+    # The sort is stable: of equal ids the last one was written last.
+    ordered = F.array_sort(nodes, lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
+    return let(ordered, lambda all_: F.filter(all_, lambda n, i: ~F.get(all_, i + 1)["id"].eqNullSafe(n["id"])))
 
 
 def with_graph(incidents: DataFrame, depth: int = 2) -> DataFrame:
@@ -74,9 +77,9 @@ def with_graph(incidents: DataFrame, depth: int = 2) -> DataFrame:
     if depth >= 2:
         first = lambda r: r[0]
         levels += [
-            hop(_matches(F.col("attack_stages"), dims.TECHNIQUES), "mitre_attack", "maps_to_attack", "stage:", lambda r: F.concat(F.lit("attack:"), r[0]), lambda r: r[1], technique_id=first),
-            hop(_matches(F.col("attack_stages"), dims.MITIGATIONS), "mitigation", "has_mitigation", "stage:", lambda r: F.concat(F.lit("mitigation:"), r[0]), first),
-            hop(_matches(F.col("services"), dims.RULES), "security_rule", "monitored_by", "service:", lambda r: F.concat(F.lit("rule:"), r[0]), first),
+            hop(_matches(F.col("attack_stages"), TECHNIQUE_ROWS), "mitre_attack", "maps_to_attack", "stage:", lambda r: F.concat(F.lit("attack:"), r[0]), lambda r: r[1], technique_id=first),
+            hop(_matches(F.col("attack_stages"), MITIGATION_ROWS), "mitigation", "has_mitigation", "stage:", lambda r: F.concat(F.lit("mitigation:"), r[0]), first),
+            hop(_matches(F.col("services"), RULE_ROWS), "security_rule", "monitored_by", "service:", lambda r: F.concat(F.lit("rule:"), r[0]), first),
         ]
     drafted = incidents.withColumn("__nodes", F.concat(*[n.cast(f"array<{NODE}>") for n, _ in levels]))
     out = drafted.withColumn("nodes", _last_of_each(F.col("__nodes"))).drop("__nodes")
@@ -93,17 +96,12 @@ def prompt_context(nodes: Column, edges: Column, advice: Column) -> Column:
         return non_empty(F.array_join(values, by), otherwise)
 
     attack = F.transform(F.filter(nodes, lambda n: n["type"] == "mitre_attack"), lambda n: n["name"])
-    rows = [
-        F.lit("Structured security context for incident response:"),
-        F.concat(F.lit("- Incident: "), "incident_id", F.lit(" severity="), "severity"),
-        F.concat(F.lit("- Assets: "), listed(F.col("assets"), "unknown")),
-        F.concat(F.lit("- Services: "), listed(F.col("services"), "unknown")),
-        F.concat(F.lit("- CVEs: "), listed(F.col("cves"), "none")),
-        F.concat(F.lit("- MITRE ATT&CK context: "), listed(attack, "unknown")),
-        F.concat(F.lit("- Recommended mitigations/rules: "), listed(advice, "none", "; ")),
-        F.concat(F.lit("- KG facts: "), F.size(nodes).cast("string"), F.lit(" nodes, "), F.size(edges).cast("string"), F.lit(" edges")),
-    ]
-    return F.concat_ws("\n", *rows)
+    values = {
+        "incident_id": F.col("incident_id"), "severity": F.col("severity"), "nodes": F.size(nodes), "edges": F.size(edges),
+        "assets": listed(F.col("assets"), "unknown"), "services": listed(F.col("services"), "unknown"), "cves": listed(F.col("cves"), "none"),
+        "techniques": listed(attack, "unknown"), "advice": listed(advice, "none", "; "),
+    }
+    return filled("\n".join(dims.PROMPT_LINES), **values)
 
 
 def contexts(incidents: DataFrame, depth: int = 2) -> DataFrame:
@@ -122,11 +120,11 @@ def context_struct() -> Column:
 
 def node_table(with_graphs: DataFrame) -> DataFrame:
     """(graph_id, id, type, name, properties) of many incidents."""
-    return with_graphs.select(F.col("incident_id").alias("graph_id"), F.explode("nodes").alias("n")).select("graph_id", "n.*")
+    return exploded(with_graphs, "nodes", "n", "incident_id").select(F.col("incident_id").alias("graph_id"), "n.*")
 
 
 def edge_table(with_graphs: DataFrame) -> DataFrame:
-    return with_graphs.select(F.col("incident_id").alias("graph_id"), F.explode("edges").alias("e")).select("graph_id", "e.*")
+    return exploded(with_graphs, "edges", "e", "incident_id").select(F.col("incident_id").alias("graph_id"), "e.*")
 
 
 def upsert_nodes(written: DataFrame, turn: str) -> DataFrame:

@@ -9,32 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import dims
-from emberlog.functions.textfx import WS, B, contains_any, distinct_values, extract_all, groups_present, strip
-
-_OCTET = r"(?:1?\p{Nd}?\p{Nd}|2[0-4]\p{Nd}|25[0-5])"
-_HEX = "[0-9A-Fa-f]"
-_LABEL, _LETTERS = "[0-9A-Za-z-]", "[A-Za-z]{2,}"
-_SEGMENT = "[0-9A-Za-z._-]"
-
-#: type, pattern, guard: a text without the guard has no match. Order is the order of results.
-IOC_RULES = (
-    ("ipv4", rf"{B}{_OCTET}(?:\.{_OCTET}){{3}}{B}", r"\p{Nd}\.\p{Nd}"),
-    ("ipv6", rf"{B}(?:{_HEX}{{1,4}}:){{2,7}}{_HEX}{{1,4}}{B}", ":[0-9A-Fa-f]"),
-    ("domain", rf"{B}(?:{_LABEL}++\.)+{_LETTERS}{B}", r"[0-9A-Za-z-]\.[A-Za-z]"),
-    ("url", rf"https?://[^{WS},;\])'\"]+", "://"),
-    ("email", rf"{B}[0-9A-Za-z%+._-]+@[0-9A-Za-z.-]+\.{_LETTERS}{B}", "@"),
-    ("sha256", rf"{B}{_HEX}{{64}}{B}", f"{_HEX}{{64}}"),
-    ("sha1", rf"{B}{_HEX}{{40}}{B}", f"{_HEX}{{40}}"),
-    ("md5", rf"{B}{_HEX}{{32}}{B}", f"{_HEX}{{32}}"),
-    ("file_path", rf"[A-Za-z]:\\[^{WS},;]+|/(?:{_SEGMENT}++/)+{_SEGMENT}++", r":\\|/[0-9A-Za-z._-]+/"),
-)
-CVE = rf"(?iu){B}CVE-\p{{Nd}}{{4}}-\p{{Nd}}{{4,7}}{B}"
-_HOST_KEYS = "asset|dst_host|endpoint|host|hostname|instance|node|pod|server|src_host|workstation"
-_USER_KEYS = "account|principal|user|username"
-ASSETS = (rf"(?iu){B}(?:{_HOST_KEYS})[ :=]+([0-9A-Za-z@._:/-]+)", rf"(?iu){B}(?:{_USER_KEYS})[ :=]+([0-9A-Za-z@._/-]+)")
+from emberlog.functions.textfx import contains_any, distinct_values, extract_all, groups_present, java, let, strip
+
+#: A text that lacks the guard has no match of the pattern.
+_GUARDS = {
+    "ipv4": r"\p{Nd}\.\p{Nd}",
+    "ipv6": ":[0-9A-Fa-f]",
+    "domain": r"[0-9A-Za-z-]\.[A-Za-z]",
+    "url": "://",
+    "email": "@",
+    "sha256": "[0-9A-Fa-f]{64}",
+    "sha1": "[0-9A-Fa-f]{40}",
+    "md5": "[0-9A-Fa-f]{32}",
+    "file_path": r":\\|/[0-9A-Za-z._-]+/",
+}
+#: type, pattern, guard, in the order of results.
+IOC_RULES = tuple((kind, java(p), _GUARDS[kind]) for kind, p in dims.IOC_PATTERNS.items())
+CVE = java(dims.CVE_PATTERN, True)
+ASSETS = tuple(java(p, True) for p in dims.ASSET_PATTERNS)
 IOC_TYPE = "array<struct<type:string,value:string>>"
-SUMMARY_CHARS = 240
-NO_EVENTS = "No log events supplied."
 
 
 def _found(text: Column, pattern: str, guard: str) -> Column:
@@ -56,15 +49,18 @@ def email_hosts(emails: Column) -> Column:
     return F.transform(emails, lambda m: F.lower(F.regexp_extract(m, "(?s)^[^@]*@(.*)$", 1)))
 
 
+def _typed(kind: str, values: Column) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
+
+
 def with_iocs(df: DataFrame, text_col: str = "text", into: str = "iocs") -> DataFrame:
     """df with an array of (type, value); domains that URLs or e-mail addresses name are left out."""
     names = {kind: f"__ioc_{kind}" for kind, _, _ in IOC_RULES}
     found = df.withColumns({names[k]: c for k, c in ioc_arrays(F.col(f"`{text_col}`")).items()})
     taken = F.array_union(url_hosts(F.col(names["url"])), email_hosts(F.col(names["email"])))
     found = found.withColumn("__taken", taken)
-    kept = {k: F.col(n) for k, n in names.items()} | {"domain": F.filter(names["domain"], lambda d: ~F.array_contains(F.col("__taken"), F.lower(d)))}
-    pairs = [F.transform(kept[k], lambda v, k=k: F.struct(F.lit(k).alias("type"), v.alias("value"))) for k, _, _ in IOC_RULES]
-    return found.withColumn(into, F.concat(*pairs)).drop(*names.values(), "__taken")
+    kept = {k: F.col(n) for k, n in names.items()} | {"domain": let(F.col("__taken"), lambda taken: F.filter(names["domain"], lambda d: ~F.array_contains(taken, F.lower(d))))}
+    return found.withColumn(into, F.concat(*[_typed(k, kept[k]) for k, _, _ in IOC_RULES])).drop(*names.values(), "__taken")
 
 
 def extract_cves(text: Column) -> Column:
@@ -102,7 +98,7 @@ def incidents(events: DataFrame, observed_at: str = "", source: str = "log_parse
     text = events.withColumn("__text", F.array_join("raw_events", "\n"))
     found = with_iocs(text, "__text").withColumn("__low", F.lower("__text"))
     found = found.withColumns({"cves": extract_cves(F.col("__text")), "assets": extract_assets(F.col("__text")), "services": infer_services(F.col("__low")), "attack_stages": infer_stages(F.col("__low"))})
-    head = F.when(F.size("raw_events") > 0, F.substring(F.get("raw_events", 0), 1, SUMMARY_CHARS)).otherwise(NO_EVENTS)
+    head = F.when(F.size("raw_events") > 0, F.substring(F.get("raw_events", 0), 1, dims.SUMMARY_CHARS)).otherwise(dims.NO_EVENTS)
     extra = [c for c in events.columns if c not in ("incident_id", "raw_events")]
     return found.select(
         *extra, "incident_id", F.lit(observed_at).alias("observed_at"), head.alias("summary"), "iocs", "cves", "assets", "services", "attack_stages",

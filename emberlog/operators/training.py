@@ -11,14 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from emberlog.functions import dims
 from emberlog.functions.textfx import strip
 from emberlog.operators.gate import process
 from emberlog.operators.graph import INCIDENT_FIELDS, context_struct, contexts
 from emberlog.operators.incident import incidents
 from emberlog.runtime import ensure_importable
 
-_PREAMBLE = "Use the following preprocessed structured incident JSON and KG-RAG " + "security context when producing the response plan."
-RELATIONS = (("assets", "affects_asset"), ("attack_stages", "has_attack_stage"), ("cves", "mentions_cve"), ("iocs", "has_ioc"), ("services", "involves_service"))
 COUNTED = ("iocs", "cves", "assets", "services", "attack_stages")
 
 
@@ -31,7 +30,7 @@ def limited(examples: DataFrame, limit: int | None) -> DataFrame:
 
 def validation() -> Column:
     """Of a row of `contexts`: ok, errors, and counts of what was extracted and built."""
-    expected = F.array_compact(F.array(*[F.when(F.size(field) > 0, F.lit(relation)) for field, relation in RELATIONS]))
+    expected = F.array_compact(F.array(*[F.when(F.size(field) > 0, F.lit(relation)) for field, relation in dims.RELATIONS]))
     missing = F.array_sort(F.array_except(expected, F.transform("edges", lambda e: e["relation"])))
     listed = F.concat(F.lit("missing KG relations: ['"), F.array_join(missing, "', '"), F.lit("']"))
     errors = F.array_compact(F.array(
@@ -52,7 +51,7 @@ def enrich(examples: DataFrame, depth: int = 2, observed_at: str = "", id_prefix
     built = contexts(incidents(named, observed_at), depth).withColumn("validation", validation())
     body = F.to_json(F.struct(*INCIDENT_FIELDS), {"pretty": "true", "ignoreNullFields": "false"})
     text = F.concat(
-        entry, F.lit(f"\n\n{_PREAMBLE}\n<incident_json>\n"), body, F.lit("\n</incident_json>\n<kg_rag_context>\n"), F.col("prompt_context"), F.lit("\n</kg_rag_context>")
+        entry, F.lit(f"\n\n{dims.ENRICHMENT_PREAMBLE}\n<incident_json>\n"), body, F.lit("\n</incident_json>\n<kg_rag_context>\n"), F.col("prompt_context"), F.lit("\n</kg_rag_context>")
     )
     metadata = F.struct("source_index", F.struct(*INCIDENT_FIELDS).alias("incident"), context_struct().alias("kg_rag"), "validation")
     return built.select("source_index", F.col("instruction").alias("original_instruction"), text.alias("instruction"), "answer", metadata.alias("metadata"))
@@ -78,7 +77,7 @@ def test_count(n: int, ratio: float) -> int:
 MAX_EXACT = 5_000_000
 
 
-def with_split(examples: DataFrame, ratio: float = 0.2, seed: int = 99125, exact: bool = True) -> DataFrame:
+def with_split(examples: DataFrame, ratio: float = dims.TEST_RATIO, seed: int = dims.SPLIT_SEED, exact: bool = True) -> DataFrame:
     """examples with split ('train' or 'test'); source_index must run from 0 without gaps.
 
     exact follows the seeded shuffle of positions that a single process would make; its permutation

@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -61,3 +62,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exploded(df: DataFrame, column: str, name: str, *kept: str, place: str | None = None) -> DataFrame:
+    """The kept columns and one row for each element of an array column that is not null (its place too, if named).
+
+    An inner explode makes the optimizer test the array's size below all projections, which
+    computes a costly array again and again; the outer one with a test of its rows doesn't.
+    """
+    made = F.posexplode_outer(column).alias(place, name) if place else F.explode_outer(column).alias(name)
+    return df.select(*[F.col(f"`{c}`") for c in kept], made).where(F.col(f"`{name}`").isNotNull())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores; as it is where the input has that many splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -1 +1 @@
-"""Package of the sources layer."""
+"""Readers and writers of the engine's file formats."""
