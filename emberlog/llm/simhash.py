@@ -71,11 +71,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
-    """(64, words): bit b of fingerprint i stands at bit i % 64 of word i // 64 in plane b."""
-    n = len(values)
-    padded = np.zeros(-(-n // 64) * 64, dtype=np.uint64)
-    padded[:n] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """(bits, words): bit b of fingerprint i stands at bit i % 64 of word i // 64 in plane b.
+
+    A fingerprint is one 64-bit number, or a row of several.
+    """
+    n, width = len(values), 1 if values.ndim == 1 else values.shape[1]
+    padded = np.zeros((-(-n // 64) * 64, width), dtype=np.uint64)
+    padded[:n] = values.reshape(n, width)
+    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8 * width), axis=1, bitorder="little")
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
 
 
@@ -86,6 +89,7 @@ def _within(queries: np.ndarray, planes: np.ndarray, radius: int) -> tuple[np.nd
     all exceed the radius is abandoned and no longer added to.
     """
     depth = max(1, int(radius).bit_length())
+    queries = queries.reshape(len(queries), -1)
     left = np.arange(len(queries))
     counters = [np.zeros((len(queries), planes.shape[1]), dtype=np.uint64) for _ in range(depth)]
     over = np.zeros_like(counters[0])
@@ -101,13 +105,13 @@ def _within(queries: np.ndarray, planes: np.ndarray, radius: int) -> tuple[np.nd
                 equal &= ~counters[k]
         return over | more
 
-    for b in range(BITS):
-        flip = np.where((queries[left] >> np.uint64(b)) & np.uint64(1), _ONES, np.uint64(0))
+    for b in range(len(planes)):
+        flip = np.where((queries[left, b // 64] >> np.uint64(b % 64)) & np.uint64(1), _ONES, np.uint64(0))
         carry = planes[b][None, :] ^ flip[:, None]
         for k in range(depth):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         over |= carry
-        if b % 8 == 7 and b < BITS - 1:
+        if b % 8 == 7 and b < len(planes) - 1:
             alive = (beyond() != _ONES).any(axis=1)
             if not alive.all():
                 left = left[alive]
@@ -162,7 +166,7 @@ def _pairs_of_small(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray,
 
 def _near(differences: np.ndarray, radius: int) -> np.ndarray:
     """Whether each XOR has at most radius bits, counted through its bit planes."""
-    _, lanes = _within(np.zeros(1, dtype=np.uint64), bit_planes(differences), radius)
+    _, lanes = _within(np.zeros_like(differences[:1]), bit_planes(differences), radius)
     if not len(lanes):
         return np.zeros(len(differences), dtype=bool)
     return np.unpackbits(lanes[0].view(np.uint8), bitorder="little")[: len(differences)].astype(bool)
@@ -252,19 +256,196 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowded = found.where("kind = 1").select(F.col("u").alias("fp")).distinct()
     if found.where("kind = 1").limit(1).count():
         edges = edges.unionAll(_linked(crowded, radius, 8, None, "simhash-crowded").select("u", "v"))
+    of_class = _components_of(classes, edges)
+    return made.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _components_of(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, component_id): of classes(fp, least_id), linked by edges(u, v) between fps, the least id of each component."""
     labels = connected_components(edges)
     named = classes.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").select("fp", "least_id", F.coalesce("label", "fp").alias("label"))
     least = named.where(F.col("label") != F.col("fp")).groupBy("label").agg(F.min("least_id").alias("other_id"))
     # A component's least id: over its root class and all classes that point to the root.
     roots = least.join(classes.select(F.col("fp").alias("label"), "least_id"), "label").select("label", F.least("least_id", "other_id").alias("component_id"))
-    of_class = materialize(named.join(roots, "label", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")), "simhash-named")
-    return made.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return materialize(named.join(roots, "label", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")), "simhash-named")
+
+
+# Near copies: five-word shingles, similarity of 0.8 or more -------------------------------------
+
+WORDS_WIDE, BANDS, BAND_ROWS = 4, 10, 3  # 256 bits; two texts of similarity 0.8 share a band but for 1 pair in 1,200
+_MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
+_PERMUTED = np.random.default_rng(17).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(text: bytes, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(256-bit SimHash as four numbers, a key for each MinHash band, the distinct shingles as 32-bit hashes, sorted)."""
+    words = blank_words(text)
+    if not words:
+        return np.zeros(WORDS_WIDE, dtype=np.uint64), np.zeros(BANDS, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
+    count = max(1, len(words) - width + 1)
+    totals = np.zeros((WORDS_WIDE, BITS), dtype=np.int64)
+    least = np.full(BANDS * BAND_ROWS, _ONES)
+    every = []
+    for start in range(0, count, _CHUNK):
+        part = words[start : min(start + _CHUNK, count) + width - 1]
+        shingles = map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64)
+        every.append((hashes >> np.uint64(32)).astype(np.uint32))
+        for lane in range(WORDS_WIDE):
+            mixed = (hashes ^ (hashes >> np.uint64(29))) * _MIX[lane]
+            octets = (mixed ^ (mixed >> np.uint64(32))).view(np.uint8).reshape(-1, 8)
+            if len(hashes) < 48:
+                totals[lane] += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            else:
+                for k in range(8):
+                    totals[lane, 8 * k : 8 * k + 8] += np.bincount(octets[:, k], minlength=256) @ _BITS_OF_BYTE
+        for begin in range(0, len(hashes), 2048):
+            least = np.minimum(least, (hashes[begin : begin + 2048, None] * _PERMUTED).min(axis=0))
+    bits = np.packbits(2 * totals > count, axis=1, bitorder="little").view(np.uint64).ravel()
+    rows = least.reshape(BANDS, BAND_ROWS)
+    keys = np.bitwise_xor.reduce((rows ^ (rows >> np.uint64(31))) * _MIX[:BAND_ROWS], axis=1)
+    return bits, keys, np.unique(np.concatenate(every))
+
+
+def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
+    """Rows (doc_id, fp, w0..w3, keys, shingles); fp is one number for all that a sketch holds. A narrow pass over whole texts."""
+
+    def rows(batches):
+        for batch in batches:
+            made = [sketch(t.as_buffer().to_pybytes(), width) for t in batch.column(1)]
+            wide = np.array([m[0] for m in made], dtype=np.uint64).reshape(-1, WORDS_WIDE).view(np.int64)
+            keys = np.array([m[1] for m in made], dtype=np.uint64).reshape(-1, BANDS).view(np.int64)
+            whole = np.array([xxhash.xxh64_intdigest(m[0].tobytes() + m[1].tobytes()) for m in made], dtype=np.uint64).view(np.int64)
+            ends = np.cumsum([0, *(len(m[2]) for m in made)]).astype(np.int32)
+            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.uint32), *(m[2] for m in made)]).view(np.int32)))
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            columns = [batch.column(0), pa.array(whole), *(pa.array(wide[:, k].copy()) for k in range(WORDS_WIDE)), listed, shingles]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *_WIDE, "keys", "shingles"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_rows(docs.select("doc_id", utf8("text").alias("text")), rows, f"doc_id {kind}, fp long, {', '.join(f'{w} long' for w in _WIDE)}, keys array<long>, shingles array<int>")
+
+
+_WIDE = tuple(f"w{k}" for k in range(WORDS_WIDE))
+
+
+def spanning(size: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a spanning forest of least distances (Boruvka): the closest ones connect a group."""
+    order = np.argsort(distance, kind="stable")
+    i, j = i[order], j[order]
+    label, taken = np.arange(size), []
+    while True:
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+        if not len(i):
+            break
+        best = np.full(size, len(i))
+        turn = np.arange(len(i))[::-1]
+        best[label[i][::-1]] = turn
+        np.minimum.at(best, label[j], np.arange(len(i)))
+        chosen = np.unique(best[best < len(i)])
+        taken.append((i[chosen], j[chosen]))
+        members, centres = forest(size, label[i[chosen]], label[j[chosen]])
+        to = np.arange(size)
+        to[members] = centres
+        label = to[label]
+    empty = np.zeros(0, dtype=np.int64)
+    return np.concatenate([empty, *(t[0] for t in taken)]), np.concatenate([empty, *(t[1] for t in taken)])
+
 
+def wide_links(radius: int, group_limit: int | None):
+    """For (n, key, fp, w0..w3) rows sorted by n and key: (u, v) that span each group's links, or the members of groups beyond the limit."""
+    names = ["u", "v", "n", *_WIDE]
 
-def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    def out(u, v, n=None, wide=None):
+        none = pa.nulls(len(u), pa.int64())
+        rest = [pa.array(wide[:, k].copy().view(np.int64)) for k in range(WORDS_WIDE)] if wide is not None else [none] * WORDS_WIDE
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none if n is None else pa.array(np.full(len(u), n, dtype=np.int64)), *rest], names)
+
+    def rows(batches):
+        held_key, held, spilling = None, [], False
+
+        def close():
+            fps, wide = (np.concatenate(x) for x in zip(*held, strict=True))
+            if spilling or len(fps) < 2:
+                return None
+            i, j = links_within(wide, radius, 128)
+            i, j = spanning(len(fps), i, j, np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64))
+            return out(fps[i], fps[j]) if len(i) else None
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, key, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            wide = np.stack([batch.column(3 + k).to_numpy(zero_copy_only=False) for k in range(WORDS_WIDE)], axis=1).view(np.uint64)
+            starts = np.concatenate([[0], np.flatnonzero((n[1:] != n[:-1]) | (key[1:] != key[:-1])) + 1])
+            sizes = np.diff(np.append(starts, len(fps)))
+            last = len(starts) - 1
+            inner = np.ones(len(starts), dtype=bool)
+            inner[[0, last]] = False  # these may go on in another batch
+            small = inner & (sizes > 1) & (sizes <= SMALL)
+            if small.any():
+                i, j = _pairs_of_small(sizes[small], starts[small])
+                hit = _near(wide[i] ^ wide[j], radius)
+                if hit.any():
+                    yield out(fps[i[hit]], fps[j[hit]])
+            for g in [0, *np.flatnonzero(inner & (sizes > SMALL)), *([last] if last else [])]:
+                at = slice(starts[g], starts[g] + sizes[g])
+                this = (int(n[starts[g]]), int(key[starts[g]]))
+                if this != held_key:
+                    if held and (made := close()) is not None:
+                        yield made
+                    held_key, held, spilling = this, [], False
+                held.append((fps[at], wide[at]))
+                if spilling or (group_limit and sum(len(x) for x, _ in held) > group_limit):
+                    spilling = True
+                    gone, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+                    yield out(gone, np.full(len(gone), this[1]), this[0], bits)
+                    held = [(gone[:0], bits[:0])]
+        if held and (made := close()) is not None:
+            yield made
+
+    return rows
+
+
+_LINK_SCHEMA = "u long, v long, n long, " + ", ".join(f"{w} long" for w in _WIDE)
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 60, group_limit: int = 2048) -> DataFrame:
+    """Rows (doc_id, fingerprint, component_id): texts whose sets of shingles have at least this Jaccard similarity are linked.
+
+    Equal sketches form a class. Classes meet where a MinHash band agrees; there their 256-bit
+    SimHashes are compared through bit planes, and the closest ones that connect a group are
+    verified on the shingles themselves. A similarity of 0.8 lies at 39 of 256 bits, give or take
+    6, so the radius loses none. Groups beyond the limit are cut into parts, and every two parts
+    meet in a task of their own. Blank texts are copies of each other.
+    """
+    made = materialize(sketches(docs.select("doc_id", "text"), width), "sketches")
+    classes = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "sketch-classes")
+    one = made.select("fp", *_WIDE, "keys", F.size("shingles").alias("size")).where("size > 0").dropDuplicates(["fp"])
+    dealt = one.select(F.posexplode("keys").alias("n", "key"), "fp", *_WIDE).select(F.col("n").cast("long").alias("n"), "key", "fp", *_WIDE)
+    found = materialize(map_rows(dealt.repartition("n", "key").sortWithinPartitions("n", "key"), wide_links(radius, group_limit), _LINK_SCHEMA), "near-links")
+    links = found.where("n is null").select("u", "v")
+    if not found.where("n is not null").limit(1).isEmpty():
+        crowded = found.where("n is not null").select("n", F.col("v").alias("key"), F.col("u").alias("fp"), *_WIDE)
+        parts = crowded.groupBy("n", "key").agg(F.ceil(F.count("*") / group_limit).alias("parts"))
+        placed = crowded.join(parts, ["n", "key"]).withColumn("part", F.pmod(F.xxhash64("fp", "n"), "parts"))
+        met = placed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"), "part", "n", "key", "fp", *_WIDE)
+        keyed = met.select((F.least("part", "other") * F.lit(1 << 31) + F.greatest("part", "other")).alias("n"), F.xxhash64("n", "key").alias("key"), "fp", *_WIDE)
+        links = links.unionAll(map_rows(keyed.repartition("n", "key").sortWithinPartitions("n", "key"), wide_links(radius, None), _LINK_SCHEMA).select("u", "v"))
+    pairs = materialize(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "near-pairs")
+    asked = pairs.select(F.col("u").alias("fp")).unionAll(pairs.select(F.col("v").alias("fp"))).distinct()
+    sets = materialize(made.select("fp", "shingles").join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "near-sets")
+    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+    shared = F.size(F.array_intersect("a", "b"))
+    verified = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    return made.select("doc_id", "fp").join(_components_of(classes, verified), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, found: DataFrame, fingerprints_of=fingerprints) -> DataFrame:
     """One row of docs for each component: that of its smallest doc_id, by text among repeated rows.
 
-    A document without doc_id stays only if its component has no id at all, once for each such component.
+    fingerprints_of makes (doc_id, fp) rows the way `found` was made. A document without doc_id stays only if its component has no id at all, once for each such component.
     """
     from pyspark.sql import Window
 
@@ -274,7 +455,7 @@ def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
     kept = kept.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").drop("__turn")
     nameless = docs.where("doc_id is null")
     lone = clash_free(found.where("component_id is null"), "fingerprint").distinct()
-    marked = fingerprints(nameless.select(F.col("text").alias("doc_id"), "text")).select(F.col("doc_id").alias("text"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).distinct()
+    marked = fingerprints_of(nameless.select(F.col("text").alias("doc_id"), "text")).select(F.col("doc_id").alias("text"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).distinct()
     picked = marked.join(lone, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("text").alias("text"))
     extra = nameless.join(picked.select(F.col("text").alias("__text")), F.col("text").eqNullSafe(F.col("__text")), "left_semi").dropDuplicates(["text"])
     return kept.unionByName(extra)
