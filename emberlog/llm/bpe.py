@@ -80,14 +80,16 @@ class MinimalPerfectHash:
 class Codec:
     """A vocabulary of ranks with its pattern. `memo_limit` bounds the pieces that are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_limit: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_limit: int = 250_000):
         self.ranks, self.pattern, self.memo_limit = ranks, pattern, memo_limit
         keys = list(ranks)
         self.hash = MinimalPerfectHash(keys)
         self.entry: list[tuple[bytes, int]] = [(b"", -1)] * self.hash.size
         for k in keys:
             self.entry[self.hash.slot(k)] = (k, ranks[k])
-        self.bytes_of = {i: k for k, i in ranks.items()}
+        self.bytes_of = np.empty(max(ranks.values(), default=-1) + 1, dtype=object)
+        for k, i in ranks.items():
+            self.bytes_of[i] = k
         self._ready()
 
     @classmethod
@@ -157,8 +159,15 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), dtype="<i4").tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids) -> bytes:
+        """The bytes of ids (a list or an array); an unknown id raises."""
+        at = np.asarray(ids, dtype=np.int64)
+        if len(at) and (int(at.min()) < 0 or int(at.max()) >= len(self.bytes_of)):
+            raise KeyError("an id that is not in the vocabulary")
+        try:
+            return b"".join(self.bytes_of[at].tolist())
+        except TypeError:
+            raise KeyError("an id that is not in the vocabulary") from None
 
 
 class _Memo(dict):
@@ -237,7 +246,7 @@ def decode(df: DataFrame, codec: Codec, ids_col: str = "ids", into: str = "decod
     def rows(batches):
         code = shipped.value
         for batch in batches:
-            made = [code.decode(x.values.to_pylist()) if x.is_valid else None for x in batch.column(at)]
+            made = [code.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], [*batch.schema.names, into])
 
     return map_rows(source, rows, schema)
