@@ -272,6 +272,7 @@ def _components_of(classes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # Near copies: five-word shingles, similarity of 0.8 or more -------------------------------------
 
+BROADCAST_IDS = 1_000_000
 WORDS_WIDE, BANDS, BAND_ROWS = 4, 10, 3  # 256 bits; two texts of similarity 0.8 share a band but for 1 pair in 1,200
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _PERMUTED = np.random.default_rng(17).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -315,7 +316,7 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
             made = [sketch(t.as_buffer().to_pybytes(), width) for t in batch.column(1)]
             wide = np.array([m[0] for m in made], dtype=np.uint64).reshape(-1, WORDS_WIDE).view(np.int64)
             keys = np.array([m[1] for m in made], dtype=np.uint64).reshape(-1, BANDS).view(np.int64)
-            whole = np.array([xxhash.xxh64_intdigest(m[0].tobytes() + m[1].tobytes()) for m in made], dtype=np.uint64).view(np.int64)
+            whole = np.array([xxhash.xxh64_intdigest(m[0].tobytes() + m[1].tobytes()) if len(m[2]) else 0 for m in made], dtype=np.uint64).view(np.int64)
             ends = np.cumsum([0, *(len(m[2]) for m in made)]).astype(np.int32)
             shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.uint32), *(m[2] for m in made)]).view(np.int32)))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
@@ -411,18 +412,19 @@ def wide_links(radius: int, group_limit: int | None):
 _LINK_SCHEMA = "u long, v long, n long, " + ", ".join(f"{w} long" for w in _WIDE)
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 60, group_limit: int = 2048) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 54, group_limit: int = 2048) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id): texts whose sets of shingles have at least this Jaccard similarity are linked.
 
     Equal sketches form a class. Classes meet where a MinHash band agrees; there their 256-bit
     SimHashes are compared through bit planes, and the closest ones that connect a group are
     verified on the shingles themselves. A similarity of 0.8 lies at 39 of 256 bits, give or take
-    6, so the radius loses none. Groups beyond the limit are cut into parts, and every two parts
+    6, so the radius loses 1 pair in 250 that only just qualifies. Groups beyond the limit are cut into parts, and every two parts
     meet in a task of their own. Blank texts are copies of each other.
     """
-    made = materialize(sketches(docs.select("doc_id", "text"), width), "sketches")
+    docs = docs.select("doc_id", "text")
+    made = materialize(sketches(docs, width).drop("shingles"), "sketches")
     classes = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "sketch-classes")
-    one = made.select("fp", *_WIDE, "keys", F.size("shingles").alias("size")).where("size > 0").dropDuplicates(["fp"])
+    one = made.select("fp", *_WIDE, "keys").where("fp <> 0").dropDuplicates(["fp"])
     dealt = one.select(F.posexplode("keys").alias("n", "key"), "fp", *_WIDE).select(F.col("n").cast("long").alias("n"), "key", "fp", *_WIDE)
     found = materialize(map_rows(dealt.repartition("n", "key").sortWithinPartitions("n", "key"), wide_links(radius, group_limit), _LINK_SCHEMA), "near-links")
     links = found.where("n is null").select("u", "v")
@@ -435,7 +437,12 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius
         links = links.unionAll(map_rows(keyed.repartition("n", "key").sortWithinPartitions("n", "key"), wide_links(radius, None), _LINK_SCHEMA).select("u", "v"))
     pairs = materialize(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "near-pairs")
     asked = pairs.select(F.col("u").alias("fp")).unionAll(pairs.select(F.col("v").alias("fp"))).distinct()
-    sets = materialize(made.select("fp", "shingles").join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "near-sets")
+    # Only texts with a candidate are cut into shingles again: one row for each class, found by its fp.
+    mine = classes.join(asked, "fp", "left_semi").select(F.col("least_id").alias("__id")).distinct()
+    if mine.count() <= BROADCAST_IDS:  # else the texts are shuffled once more
+        mine = F.broadcast(mine)
+    texts = sketches(docs.join(mine, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"), width)
+    sets = materialize(texts.select("fp", "shingles").join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "near-sets")
     both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
     shared = F.size(F.array_intersect("a", "b"))
     verified = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
