@@ -273,6 +273,7 @@ def _components_of(classes: DataFrame, edges: DataFrame) -> DataFrame:
 # Near copies: five-word shingles, similarity of 0.8 or more -------------------------------------
 
 BROADCAST_IDS = 1_000_000
+GROUP_SHINGLES = 8_000_000  # of a part of a group: 32 MB
 WORDS_WIDE, BANDS, BAND_ROWS = 4, 10, 3  # 256 bits; two texts of similarity 0.8 share a band but for 1 pair in 1,200
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _PERMUTED = np.random.default_rng(17).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -317,135 +318,128 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
             wide = np.array([m[0] for m in made], dtype=np.uint64).reshape(-1, WORDS_WIDE).view(np.int64)
             keys = np.array([m[1] for m in made], dtype=np.uint64).reshape(-1, BANDS).view(np.int64)
             whole = np.array([xxhash.xxh64_intdigest(m[0].tobytes() + m[1].tobytes()) if len(m[2]) else 0 for m in made], dtype=np.uint64).view(np.int64)
-            ends = np.cumsum([0, *(len(m[2]) for m in made)]).astype(np.int32)
-            shingles = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.uint32), *(m[2] for m in made)]).view(np.int32)))
+            shingles = pa.array([m[2].astype("<u4").tobytes() for m in made], pa.binary())
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             columns = [batch.column(0), pa.array(whole), *(pa.array(wide[:, k].copy()) for k in range(WORDS_WIDE)), listed, shingles]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *_WIDE, "keys", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", utf8("text").alias("text")), rows, f"doc_id {kind}, fp long, {', '.join(f'{w} long' for w in _WIDE)}, keys array<long>, shingles array<int>")
+    return map_rows(docs.select("doc_id", utf8("text").alias("text")), rows, f"doc_id {kind}, fp long, {', '.join(f'{w} long' for w in _WIDE)}, keys array<long>, shingles binary")
 
 
 _WIDE = tuple(f"w{k}" for k in range(WORDS_WIDE))
 
 
-def spanning(size: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The links of a spanning forest of least distances (Boruvka): the closest ones connect a group."""
-    order = np.argsort(distance, kind="stable")
-    i, j = i[order], j[order]
-    label, taken = np.arange(size), []
-    while True:
-        apart = label[i] != label[j]
-        i, j = i[apart], j[apart]
-        if not len(i):
-            break
-        best = np.full(size, len(i))
-        turn = np.arange(len(i))[::-1]
-        best[label[i][::-1]] = turn
-        np.minimum.at(best, label[j], np.arange(len(i)))
-        chosen = np.unique(best[best < len(i)])
-        taken.append((i[chosen], j[chosen]))
-        members, centres = forest(size, label[i[chosen]], label[j[chosen]])
-        to = np.arange(size)
-        to[members] = centres
-        label = to[label]
-    empty = np.zeros(0, dtype=np.int64)
-    return np.concatenate([empty, *(t[0] for t in taken)]), np.concatenate([empty, *(t[1] for t in taken)])
-
-
-def wide_links(radius: int, group_limit: int | None):
-    """For (n, key, fp, w0..w3) rows sorted by n and key: (u, v) that span each group's links, or the members of groups beyond the limit."""
-    names = ["u", "v", "n", *_WIDE]
+def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many shingles the sets i and j have in common, for each pair."""
+    if len(i) <= 4 * len(sets):
+        return np.array([len(a) + len(b) - len(np.union1d(a, b)) for a, b in ((sets[x], sets[y]) for x, y in zip(i.tolist(), j.tolist(), strict=True))], dtype=np.int64)
+    # Many pairs: the product of the 0/1 table (sets by shingles) with itself, a slice of its columns at a time.
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[place]
+    order = np.argsort(column, kind="stable")
+    order = order[np.searchsorted(column[order], 0) :]
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, 1024):
+        at = slice(*np.searchsorted(column, [begin, begin + 1024]))
+        table = np.zeros((len(sets), 1024), dtype=np.float32)
+        table[owner[at], column[at] - begin] = 1
+        total += table @ table.T
+    return total[i, j].astype(np.int64)
+
+
+def verified_links(similarity: float, radius: int):
+    """For (mark, cell, part, fp, w0..w3, shingles) rows sorted by mark and cell: (u, v) that span the links of each cell.
+
+    Every pair of a cell within the radius is compared by its shingles first; the forest is made of those that
+    are similar enough. A cell of two parts compares only pairs across them.
+    """
 
-    def out(u, v, n=None, wide=None):
-        none = pa.nulls(len(u), pa.int64())
-        rest = [pa.array(wide[:, k].copy().view(np.int64)) for k in range(WORDS_WIDE)] if wide is not None else [none] * WORDS_WIDE
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), none if n is None else pa.array(np.full(len(u), n, dtype=np.int64)), *rest], names)
+    def links(part, wide, sets):
+        if len(sets) <= SMALL:
+            i, j = np.triu_indices(len(sets), 1)
+            near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= radius
+            i, j = i[near], j[near]
+        else:
+            i, j = links_within(wide, radius, 128)
+        size = np.array([len(x) for x in sets])
+        keep = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+        if (part != part[0]).any():
+            keep &= part[i] != part[j]
+        i, j = i[keep], j[keep]
+        shared = shared_counts(sets, i, j)
+        hit = shared >= similarity * (size[i] + size[j] - shared)
+        return forest(len(sets), i[hit], j[hit])
 
     def rows(batches):
-        held_key, held, spilling = None, [], False
+        held_key, held = None, []
 
         def close():
-            fps, wide = (np.concatenate(x) for x in zip(*held, strict=True))
-            if spilling or len(fps) < 2:
+            part, fps, wide = (np.concatenate([h[k] for h in held]) for k in range(3))
+            if len(fps) < 2:
                 return None
-            i, j = links_within(wide, radius, 128)
-            i, j = spanning(len(fps), i, j, np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64))
-            return out(fps[i], fps[j]) if len(i) else None
+            members, centres = links(part, wide, [x for h in held for x in h[3]])
+            return (fps[members], fps[centres]) if len(members) else None
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, key, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            wide = np.stack([batch.column(3 + k).to_numpy(zero_copy_only=False) for k in range(WORDS_WIDE)], axis=1).view(np.uint64)
-            starts = np.concatenate([[0], np.flatnonzero((n[1:] != n[:-1]) | (key[1:] != key[:-1])) + 1])
-            sizes = np.diff(np.append(starts, len(fps)))
-            last = len(starts) - 1
-            inner = np.ones(len(starts), dtype=bool)
-            inner[[0, last]] = False  # these may go on in another batch
-            small = inner & (sizes > 1) & (sizes <= SMALL)
-            if small.any():
-                i, j = _pairs_of_small(sizes[small], starts[small])
-                hit = _near(wide[i] ^ wide[j], radius)
-                if hit.any():
-                    yield out(fps[i[hit]], fps[j[hit]])
-            for g in [0, *np.flatnonzero(inner & (sizes > SMALL)), *([last] if last else [])]:
-                at = slice(starts[g], starts[g] + sizes[g])
-                this = (int(n[starts[g]]), int(key[starts[g]]))
-                if this != held_key:
+            mark, cell, part, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            wide = np.stack([batch.column(4 + k).to_numpy(zero_copy_only=False) for k in range(WORDS_WIDE)], axis=1).view(np.uint64)
+            sets = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in batch.column(4 + WORDS_WIDE)]
+            starts = [0, *(np.flatnonzero((mark[1:] != mark[:-1]) | (cell[1:] != cell[:-1])) + 1).tolist(), len(fps)]
+            done = []
+            for begin, end in zip(starts, starts[1:], strict=False):
+                key = (mark[begin], cell[begin])
+                if key != held_key:
                     if held and (made := close()) is not None:
-                        yield made
-                    held_key, held, spilling = this, [], False
-                held.append((fps[at], wide[at]))
-                if spilling or (group_limit and sum(len(x) for x, _ in held) > group_limit):
-                    spilling = True
-                    gone, bits = (np.concatenate(x) for x in zip(*held, strict=True))
-                    yield out(gone, np.full(len(gone), this[1]), this[0], bits)
-                    held = [(gone[:0], bits[:0])]
+                        done.append(made)
+                    held_key, held = key, []
+                held.append((part[begin:end], fps[begin:end], wide[begin:end], sets[begin:end]))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], ["u", "v"])
         if held and (made := close()) is not None:
-            yield made
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["u", "v"])
 
     return rows
 
 
-_LINK_SCHEMA = "u long, v long, n long, " + ", ".join(f"{w} long" for w in _WIDE)
-
-
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 54, group_limit: int = 2048) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id): texts whose sets of shingles have at least this Jaccard similarity are linked.
 
-    Equal sketches form a class. Classes meet where a MinHash band agrees; there their 256-bit
-    SimHashes are compared through bit planes, and the closest ones that connect a group are
-    verified on the shingles themselves. A similarity of 0.8 lies at 39 of 256 bits, give or take
-    6, so the radius loses 1 pair in 250 that only just qualifies. Groups beyond the limit are cut into parts, and every two parts
-    meet in a task of their own. Blank texts are copies of each other.
+    Equal sketches form a class. Classes meet where a MinHash band agrees; groups of the same members
+    are one group. The shingles go along to each group, where every pair whose 256-bit SimHashes lie
+    within the radius is verified on them; only then is a group thinned to a forest. A similarity of
+    0.8 lies at 39 of 256 bits, give or take 6, so the radius loses 1 pair in 250 that only just qualifies.
+    Groups beyond the limit (of texts, or of shingles) are cut into parts, and every two parts
+    meet in a cell of their own. Blank texts are copies of each other.
     """
+    from pyspark.sql import Window
+
     docs = docs.select("doc_id", "text")
-    made = materialize(sketches(docs, width).drop("shingles"), "sketches")
+    made = materialize(sketches(docs, width).select("doc_id", "fp", "keys", (F.length("shingles") / 4).cast("long").alias("size")), "sketches")
     classes = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "sketch-classes")
-    one = made.select("fp", *_WIDE, "keys").where("fp <> 0").dropDuplicates(["fp"])
-    dealt = one.select(F.posexplode("keys").alias("n", "key"), "fp", *_WIDE).select(F.col("n").cast("long").alias("n"), "key", "fp", *_WIDE)
-    found = materialize(map_rows(dealt.repartition("n", "key").sortWithinPartitions("n", "key"), wide_links(radius, group_limit), _LINK_SCHEMA), "near-links")
-    links = found.where("n is null").select("u", "v")
-    if not found.where("n is not null").limit(1).isEmpty():
-        crowded = found.where("n is not null").select("n", F.col("v").alias("key"), F.col("u").alias("fp"), *_WIDE)
-        parts = crowded.groupBy("n", "key").agg(F.ceil(F.count("*") / group_limit).alias("parts"))
-        placed = crowded.join(parts, ["n", "key"]).withColumn("part", F.pmod(F.xxhash64("fp", "n"), "parts"))
-        met = placed.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"), "part", "n", "key", "fp", *_WIDE)
-        keyed = met.select((F.least("part", "other") * F.lit(1 << 31) + F.greatest("part", "other")).alias("n"), F.xxhash64("n", "key").alias("key"), "fp", *_WIDE)
-        links = links.unionAll(map_rows(keyed.repartition("n", "key").sortWithinPartitions("n", "key"), wide_links(radius, None), _LINK_SCHEMA).select("u", "v"))
-    pairs = materialize(links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "near-pairs")
-    asked = pairs.select(F.col("u").alias("fp")).unionAll(pairs.select(F.col("v").alias("fp"))).distinct()
-    # Only texts with a candidate are cut into shingles again: one row for each class, found by its fp.
+    one = made.select("fp", "keys", "size").where("fp <> 0").dropDuplicates(["fp"])
+    group = Window.partitionBy("n", "key")
+    dealt = one.select(F.posexplode("keys").alias("n", "key"), "fp", "size").select(
+        "fp", F.count("*").over(group).alias("members"), F.sum("size").over(group).alias("total"), F.bit_xor(F.xxhash64("fp")).over(group).alias("mark")
+    )
+    parts = F.greatest(F.ceil(F.col("members") / group_limit), F.ceil(F.col("total") / GROUP_SHINGLES))
+    groups = materialize(dealt.where("members > 1").select(F.xxhash64("mark", "members", "total").alias("mark"), parts.alias("parts"), "fp").distinct(), "near-groups")
+    asked = groups.select("fp").distinct()
+    # Only texts that share a band are cut into shingles again: one row for each class, found by its fp.
     mine = classes.join(asked, "fp", "left_semi").select(F.col("least_id").alias("__id")).distinct()
     if mine.count() <= BROADCAST_IDS:  # else the texts are shuffled once more
         mine = F.broadcast(mine)
     texts = sketches(docs.join(mine, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"), width)
-    sets = materialize(texts.select("fp", "shingles").join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "near-sets")
-    both = pairs.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    verified = both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    sets = materialize(texts.select("fp", *_WIDE, "shingles").join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "near-sets")
+    placed = groups.withColumn("part", F.pmod(F.xxhash64("fp", "mark"), "parts"))
+    met = placed.select("mark", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"), "part", "fp")
+    cells = met.select("mark", (F.least("part", "other") * F.lit(1 << 31) + F.greatest("part", "other")).alias("cell"), "part", "fp")
+    sorted_cells = cells.join(sets, "fp").select("mark", "cell", "part", "fp", *_WIDE, "shingles").repartition("mark", "cell").sortWithinPartitions("mark", "cell")
+    verified = materialize(map_rows(sorted_cells, verified_links(similarity, radius), "u long, v long"), "near-links")
     return made.select("doc_id", "fp").join(_components_of(classes, verified), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
