@@ -273,6 +273,7 @@ def _components_of(classes: DataFrame, edges: DataFrame) -> DataFrame:
 # Near copies: five-word shingles, similarity of 0.8 or more -------------------------------------
 
 BROADCAST_IDS = 1_000_000
+RADIUS = 96
 GROUP_SHINGLES = 8_000_000  # of a part of a group: 32 MB
 WORDS_WIDE, BANDS, BAND_ROWS = 4, 10, 3  # 256 bits; two texts of similarity 0.8 share a band but for 1 pair in 1,200
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -406,13 +407,14 @@ def verified_links(similarity: float, radius: int):
     return rows
 
 
-def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 54, group_limit: int = 2048) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = RADIUS, group_limit: int = 2048) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id): texts whose sets of shingles have at least this Jaccard similarity are linked.
 
     Equal sketches form a class. Classes meet where a MinHash band agrees; groups of the same members
     are one group. The shingles go along to each group, where every pair whose 256-bit SimHashes lie
     within the radius is verified on them; only then is a group thinned to a forest. A similarity of
-    0.8 lies at 39 of 256 bits, give or take 6, so the radius loses 1 pair in 250 that only just qualifies.
+    0.8 lies at 39 of 256 bits, give or take 6; where texts have few shingles at 48 at most (four against five),
+    give or take 6.2. The radius lies more than seven such deviations beyond either.
     Groups beyond the limit (of texts, or of shingles) are cut into parts, and every two parts
     meet in a cell of their own. Blank texts are copies of each other.
     """

@@ -1,5 +1,7 @@
 """near_copies against exact Jaccard components of five-word shingles, where the single stages could lose a link."""
 
+import inspect
+
 import numpy as np
 
 from emberlog.llm import simhash
@@ -51,3 +53,12 @@ def test_shared_counts():
     want = [len(set(sets[a].tolist()) & set(sets[b].tolist())) for a, b in zip(i, j, strict=True)]
     assert simhash.shared_counts(sets, i, j).tolist() == want
     assert simhash.shared_counts(sets, i[:50], j[:50]).tolist() == want[:50]
+
+
+def test_radius_loses_no_short_text():
+    radius = inspect.signature(simhash.near_copies).parameters["radius"].default
+    for words in (8, 12, 40):  # one word appended: a similarity of 0.8 and more
+        for k in range(300):
+            text = [f"t{k}w{x}" for x in range(words)]
+            a, b = (simhash.sketch(" ".join(t).encode())[0] for t in (text, [*text, "more"]))
+            assert np.bitwise_count(a ^ b).sum() <= radius
