@@ -281,19 +281,21 @@ _PERMUTED = np.random.default_rng(17).integers(1, 1 << 63, BANDS * BAND_ROWS, dt
 
 
 def sketch(text: bytes, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(256-bit SimHash as four numbers, a key for each MinHash band, the distinct shingles as 32-bit hashes, sorted)."""
+    """(256-bit SimHash of the distinct shingles as four numbers, a key for each MinHash band, the distinct shingles as 32-bit hashes, sorted)."""
     words = blank_words(text)
     if not words:
         return np.zeros(WORDS_WIDE, dtype=np.uint64), np.zeros(BANDS, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
     count = max(1, len(words) - width + 1)
-    totals = np.zeros((WORDS_WIDE, BITS), dtype=np.int64)
-    least = np.full(BANDS * BAND_ROWS, _ONES)
     every = []
     for start in range(0, count, _CHUNK):
         part = words[start : min(start + _CHUNK, count) + width - 1]
         shingles = map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64)
-        every.append((hashes >> np.uint64(32)).astype(np.uint32))
+        every.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles), dtype=np.uint64)))
+    distinct = np.unique(np.concatenate(every))
+    totals = np.zeros((WORDS_WIDE, BITS), dtype=np.int64)
+    least = np.full(BANDS * BAND_ROWS, _ONES)
+    for start in range(0, len(distinct), _CHUNK):
+        hashes = distinct[start : start + _CHUNK]
         for lane in range(WORDS_WIDE):
             mixed = (hashes ^ (hashes >> np.uint64(29))) * _MIX[lane]
             octets = (mixed ^ (mixed >> np.uint64(32))).view(np.uint8).reshape(-1, 8)
@@ -304,21 +306,21 @@ def sketch(text: bytes, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndar
                     totals[lane, 8 * k : 8 * k + 8] += np.bincount(octets[:, k], minlength=256) @ _BITS_OF_BYTE
         for begin in range(0, len(hashes), 2048):
             least = np.minimum(least, (hashes[begin : begin + 2048, None] * _PERMUTED).min(axis=0))
-    bits = np.packbits(2 * totals > count, axis=1, bitorder="little").view(np.uint64).ravel()
+    bits = np.packbits(2 * totals > len(distinct), axis=1, bitorder="little").view(np.uint64).ravel()
     rows = least.reshape(BANDS, BAND_ROWS)
     keys = np.bitwise_xor.reduce((rows ^ (rows >> np.uint64(31))) * _MIX[:BAND_ROWS], axis=1)
-    return bits, keys, np.unique(np.concatenate(every))
+    return bits, keys, np.unique((distinct >> np.uint64(32)).astype(np.uint32))
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Rows (doc_id, fp, w0..w3, keys, shingles); fp is one number for all that a sketch holds. A narrow pass over whole texts."""
+    """Rows (doc_id, fp, w0..w3, keys, shingles); fp is one number for the set of shingles. A narrow pass over whole texts."""
 
     def rows(batches):
         for batch in batches:
             made = [sketch(t.as_buffer().to_pybytes(), width) for t in batch.column(1)]
             wide = np.array([m[0] for m in made], dtype=np.uint64).reshape(-1, WORDS_WIDE).view(np.int64)
             keys = np.array([m[1] for m in made], dtype=np.uint64).reshape(-1, BANDS).view(np.int64)
-            whole = np.array([xxhash.xxh64_intdigest(m[0].tobytes() + m[1].tobytes()) if len(m[2]) else 0 for m in made], dtype=np.uint64).view(np.int64)
+            whole = np.array([xxhash.xxh64_intdigest(m[2].tobytes()) if len(m[2]) else 0 for m in made], dtype=np.uint64).view(np.int64)
             shingles = pa.array([m[2].astype("<u4").tobytes() for m in made], pa.binary())
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             columns = [batch.column(0), pa.array(whole), *(pa.array(wide[:, k].copy()) for k in range(WORDS_WIDE)), listed, shingles]
@@ -410,7 +412,7 @@ def verified_links(similarity: float, radius: int):
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = RADIUS, group_limit: int = 2048) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id): texts whose sets of shingles have at least this Jaccard similarity are linked.
 
-    Equal sketches form a class. Classes meet where a MinHash band agrees; groups of the same members
+    Equal sets form a class. Classes meet where a MinHash band agrees; groups of the same members
     are one group. The shingles go along to each group, where every pair whose 256-bit SimHashes lie
     within the radius is verified on them; only then is a group thinned to a forest. A similarity of
     0.8 lies at 39 of 256 bits, give or take 6; where texts have few shingles at 48 at most (four against five),

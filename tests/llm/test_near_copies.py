@@ -62,3 +62,12 @@ def test_radius_loses_no_short_text():
             text = [f"t{k}w{x}" for x in range(words)]
             a, b = (simhash.sketch(" ".join(t).encode())[0] for t in (text, [*text, "more"]))
             assert np.bitwise_count(a ^ b).sum() <= radius
+
+
+def test_repeats_change_no_sketch():
+    line = [f"w{x}" for x in range(100)]
+    once, often = (simhash.sketch(" ".join(line * k).encode()) for k in (2, 9))
+    assert all((a == b).all() for a, b in zip(once, often, strict=True))
+    boiler = "one line that stands here again and again".split()
+    a, b = (simhash.sketch(" ".join(line + boiler * k).encode()) for k in (2, 40))
+    assert (a[2] == b[2]).all() and (a[0] == b[0]).all()
