@@ -1,7 +1,7 @@
 """Secret scans: candidates and a random forest, all in DataFrame functions.
 
-A text is cut into runs that may be a secret (20 or more of A-Z a-z 0-9 _ + / -, with trailing =)
-and words. Each candidate, with the two words before it, the word after it and the path of its
+A text is cut into runs that may be a secret (20 or more of A-Z a-z 0-9 _ + / -, with trailing =),
+values of any length that are assigned to a key-like word or stand as user:value@, and words. Each candidate, with the two words before it, the word after it and the path of its
 document, gets numbers: length, character classes and transitions, entropy, dictionary coverage,
 hints of neighbours and path. A random forest, trained from labelled findings, separates secrets
 from false positives (commit hashes, identifiers, prose, placeholders). The forest is compiled to
@@ -30,8 +30,15 @@ from pyspark.sql import functions as F
 LEAST = 20
 _CANDIDATE = rf"[A-Za-z0-9_+/\-]{{{LEAST},}}+={{0,2}}"
 _PRESENT = rf"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{{{LEAST}}}"
-_PIECES = rf"[A-Za-z0-9_+/\-]{{{LEAST},}}+={{0,2}}|[\p{{L}}\p{{N}}_]++"
-_KEY_WORDS = "key|token|secret|passw|pwd|auth|credential|bearer|api|private|sk_|access"
+#: A word that names a secret, what assigns to it, and the value: up to its quote, or up to white space or a bracket.
+_NAMING = "key|token|secret|passw|pwd|auth|credential|bearer"
+_KEYED = rf"(?=[\p{{L}}\p{{N}}_]*?(?i:{_NAMING}))([\p{{L}}\p{{N}}_]++)[\"'`]?\s{{0,8}}(?:=>|:=|[:=])\s{{0,8}}(?:[\"'`]([^\s\"'`]++)(?:[\"'`])|([^\s\"'`<>,;&(){{}}\[\]]*[^\s\"'`<>,;&(){{}}\[\].:=]))"
+#: user:password@ with or without a scheme before it.
+_LOGIN = r"(?<![A-Za-z0-9.%+\-])((?:[A-Za-z][A-Za-z0-9+.\-]{1,20}://)?[A-Za-z0-9._%+\-]{0,64}:)([^\s\"'`/@:][^\s\"'`/@]*+)@(?=[A-Za-z0-9\[])"
+_AHEAD = r"(?=[A-Za-z0-9\[])"
+_RUN = rf"[A-Za-z0-9_+/\-]{{{LEAST},}}+={{0,2}}"
+_PIECES = rf"{_LOGIN}|{_KEYED}|{_RUN}|(?:(?![A-Za-z0-9_+/\-]{{{LEAST}}})[A-Za-z0-9_]++|[[\p{{L}}\p{{N}}]&&[^\x00-\x7F]]++)++"
+_KEY_WORDS = "key|token|secret|passw|pwd|auth|credential|bearer|api|private|sk_|access|:$"
 _HASH_WORDS = "sha|commit|hash|md5|checksum|digest|etag|uuid|guid|integrity|revision|trace|request_?id|build|fingerprint|blob|tree|object"
 _PATHS = "test|example|sample|fixture|mock|docs?|lock|vendor|changelog|dist|min"
 _PREFIXES = "^(akia|asia|aiza|ghp_|gho_|github_pat|sk_live|sk-|rk_live|xox[bpas]-|eyj|glpat|npm_|pypi-|ya29|sg_)"
@@ -169,6 +176,54 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[dict]:
     for k in range(n):
         value, before, near, after, path = good() if k % 2 else bad()
         out.append({"value": value, "before": before, "near": near, "after": after, "path": path, "label": k % 2})
+    return out + _labelled_values(r, n // 2, keys, prose, plain, syllables, paths)
+
+
+def _labelled_values(r: random.Random, n: int, keys: list, prose: list, plain: list, syllables: list, paths: list) -> list[dict]:
+    """Generated values of any length that a key-like word or user: stands before."""
+    alnum, marks = string.ascii_letters + string.digits, "!#$%&*+-.?^_~"
+    some = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
+    logins = ["postgres://admin:", "mysql://root:", "amqp://user:", "https://bot:", "admin:", "deploy:"]
+
+    def good() -> str:
+        kind = int(r.random() * 5)
+        if kind == 0:
+            made = list(some(alnum, r.randint(5, 14)) + some(string.digits, 2) + some(marks, r.randint(1, 3)))
+            r.shuffle(made)
+            return "".join(made)
+        if kind == 1:
+            word = r.choice(plain)
+            for a, b in (("a", "4"), ("e", "3"), ("o", "0"), ("i", "1")):
+                word = word.replace(a, b) if r.random() < 0.6 else word
+            return word.title() + r.choice(["", "!", "_", "#", "-"]) + some(string.digits, r.randint(2, 4)) + some(marks, r.randint(0, 2)) + some(alnum, r.randint(0, 4))
+        if kind == 2:
+            return some("0123456789abcdef", r.randint(12, 19))
+        if kind == 3:
+            return some(alnum, r.randint(8, 19))
+        return r.choice(plain) + some(string.digits, r.randint(1, 4)) + r.choice(["", "!", "pw", "x"])
+
+    def bad() -> str:
+        kind = int(r.random() * 8)
+        if kind == 0:
+            return r.choice(["true", "false", "null", "None", "required", "string", "undefined", "nil", "optional", "yes", "no", "*****", "********", "...", "-", "?", "N/A", "%s", "$1", "{}", "1", "0"])
+        if kind == 1:
+            return some(string.digits, r.randint(1, 10))
+        if kind == 2:
+            return "".join(r.choice(syllables) for _ in range(r.randint(1, 5)))
+        if kind == 3:
+            return r.choice([str.title, str.upper, str.lower])(r.choice(plain))
+        if kind == 4:
+            return r.choice(["_", ".", "-", "/"]).join(r.choice(plain) for _ in range(r.randint(2, 3)))
+        if kind == 5:
+            return r.choice(["changeme", "your_password", "xxxxxxxx", "example", "placeholder", "$PASSWORD", "${TOKEN}", "%TOKEN%", "dummy", "sample_key", "redacted", "todo", "[secret]"])
+        if kind == 6:
+            return "".join(r.choice(syllables) for _ in range(r.randint(2, 4))).title()
+        return "".join(r.choice(plain).title() for _ in range(r.randint(2, 3)))
+
+    out = []
+    for k in range(n):
+        before = r.choice(keys + ["user_password", "db_pwd"]) if r.random() < 0.8 else r.choice(logins)
+        out.append({"value": (good if k % 2 else bad)(), "before": before, "near": r.choice(prose), "after": r.choice(prose), "path": r.choice(paths), "label": k % 2})
     return out
 
 
@@ -241,13 +296,22 @@ def trained_forest(spark: SparkSession, n: int = 3000, seed: int = 5) -> list:
 
 def findings(text: Column, path: Column) -> Column:
     """The array of candidates of a text, each with neighbours and features; null where there is none."""
-    pieces = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
-    at = lambda words, i: F.coalesce(F.get(words, i), F.lit(""))
+    word = lambda w: F.regexp_replace(w, "^\u0001", "")
+    at = lambda words, i: F.coalesce(word(F.get(words, i)), F.lit(""))
+
+    def parts(w: Column, pattern: str, groups: tuple[int, ...]) -> Column:
+        """The word before a value, the value (marked), and the runs inside it where it is no run itself."""
+        value = F.concat(*[F.regexp_extract(w, pattern, k) for k in groups])
+        inside = F.when(value.rlike(rf"^{_RUN}$"), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(value, F.lit(_RUN), F.lit(0)))
+        return F.concat(F.array(F.regexp_extract(w, pattern, 1), F.concat(F.lit("\u0001"), value)), inside)
+
+    found = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
+    pieces = F.flatten(F.transform(found, lambda w: F.when(w.rlike(r"^[\p{L}\p{N}_]++$"), F.array(w)).when(w.rlike(rf"^{_LOGIN[:-len(_AHEAD)]}$"), parts(w, _LOGIN[: -len(_AHEAD)], (2,))).when(w.rlike(rf"^{_KEYED}"), parts(w, _KEYED, (2, 3))).otherwise(F.array(w))))
     looked = F.filter(
-        F.transform(pieces, lambda w, i: F.when(F.length(w) >= LEAST, F.when(w.rlike(rf"^{_CANDIDATE}$"), F.struct(w.alias("value"), at(pieces, i - 1).alias("before"), at(pieces, i - 2).alias("near"), at(pieces, i + 1).alias("after"))))),
+        F.transform(pieces, lambda w, i: F.when(w.startswith("\u0001") | ((F.length(w) >= LEAST) & w.rlike(rf"^{_CANDIDATE}$")), F.struct(word(w).alias("value"), at(pieces, i - 1).alias("before"), at(pieces, i - 2).alias("near"), at(pieces, i + 1).alias("after")))),
         lambda c: c.isNotNull(),
     )
-    return F.when(text.rlike(_PRESENT), looked)
+    return F.when(text.rlike(_PRESENT) | text.rlike(_KEYED) | text.rlike(_LOGIN), looked)
 
 
 def scan(docs: DataFrame, text_col: str = "text", path_col: str | None = "source", cut: float = 0.5) -> DataFrame:
@@ -282,5 +346,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", text_col: str = "text", path
     values = F.array_distinct(F.transform(F.filter("findings", lambda c: c["is_secret"]), lambda c: c["value"]))
     # Longer values first: one may be part of another.
     ordered = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
-    clean = F.aggregate(ordered, F.col(f"`{text_col}`"), lambda text, value: F.replace(text, value, F.lit(mark)))
+    # Shorter ones may be part of other words: they are replaced where they stand by themselves.
+    alone = lambda value: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    clean = F.aggregate(ordered, F.col(f"`{text_col}`"), lambda text, value: F.when(F.length(value) >= LEAST, F.replace(text, value, F.lit(mark))).otherwise(F.regexp_replace(text, alone(value), F.lit(mark))))
     return found.withColumn(text_col, F.when(F.size(values) > 0, clean).otherwise(F.col(f"`{text_col}`"))).drop("findings")
