@@ -6,10 +6,9 @@ each the difference of rectangle sums that an integral image gives at once, slid
 each yields two bits (Gray-coded level), so a position has one packed 32-bit integer.
 
 Search. Equal fingerprints form a class first, so copies cost nothing further. Queries are taken in
-blocks of a fixed number; a block's integers, sorted, go to every task, and each recording looks
-its own integers up there. Equal integers vote for (query, offset); offsets with enough votes
-are compared bit by bit over the overlap, and the one of least error links the two if it is low
-enough. Memory is bounded by the block and a slice of one recording.
+blocks of a fixed number, which go to every task; each recording is compared bit by bit with each
+query at every offset, and the offset of least error links the two if it is low enough. The work is
+the product of their lengths; memory is bounded by the block and the offsets of one recording.
 
 Edge cases: null or too short recordings have no integers, share one class and link to nothing;
 repeated rows stay; null ids never name a class; ties go to the offset nearest zero, then the
@@ -37,7 +36,6 @@ LEVELS = (-0.12, 0.0, 0.12)
 _GRAY = np.array([0, 1, 3, 2], dtype=np.uint32)
 _WINDOW = np.hanning(FRAME)
 _SMOOTH = np.array([0.25, 0.75, 1.0, 0.75, 0.25])
-_POP = np.array([bin(i).count("1") for i in range(1 << 16)], dtype=np.uint8)
 
 
 def _pitch_classes() -> np.ndarray:
@@ -150,49 +148,58 @@ def fingerprints_of_vectors(media: DataFrame, id_col: str, vector_col: str) -> D
 
 
 class Block:
-    """Some queries' integers, sorted, for looking up other recordings' integers."""
+    """Some queries' integers, compared with another recording's integers at every offset."""
+
+    SLOTS = 1 << 20  # offsets that are held at once; a single query may have more
 
     def __init__(self, queries: list[tuple[str, np.ndarray]]):
         self.names = [q for q, _ in queries]
         self.values = [v for _, v in queries]
-        every = np.concatenate([np.zeros(0, dtype=np.uint32), *self.values])
-        owner = np.concatenate([np.zeros(0, dtype=np.int64), *(np.full(len(v), k) for k, v in enumerate(self.values))])
-        place = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(len(v)) for v in self.values)])
-        order = np.argsort(every, kind="stable")
-        self.every, self.owner, self.place = every[order], owner[order], place[order]
-
-    def aligned(self, other: np.ndarray, least_votes: int, max_error: float, least_overlap: int) -> list[tuple[str, int, float]]:
+        self._laid: tuple[int, list] = (-1, [])
+
+    def _layout(self, n: int) -> list:
+        """Parts of the queries for a recording of n positions: (integers, which count, then query, offset and overlap of each slot); n - 1 empty places follow each query."""
+        if self._laid[0] != n:
+            made, k = [], 0
+            while k < len(self.values):
+                first, starts, used = k, [], 0
+                while k < len(self.values) and (not starts or used + len(self.values[k]) + n - 1 <= self.SLOTS):
+                    starts.append(used)
+                    used += len(self.values[k]) + n - 1
+                    k += 1
+                every, counts = np.zeros(used, dtype=np.uint32), np.zeros(used, dtype=np.uint8)
+                for q, start in enumerate(starts, first):
+                    every[start : start + len(self.values[q])] = self.values[q]
+                    counts[start : start + len(self.values[q])] = 1
+                sizes = [len(v) for v in self.values[first:k]]
+                owner = np.repeat(np.arange(first, k), [x + n - 1 for x in sizes])
+                offset = np.concatenate([np.arange(1 - n, x) for x in sizes])
+                overlap = np.concatenate([np.minimum(x, n + np.arange(1 - n, x)) - np.maximum(0, np.arange(1 - n, x)) for x in sizes])
+                made.append((every, counts, owner, offset, overlap))
+            self._laid = (n, made)
+        return self._laid[1]
+
+    def aligned(self, other: np.ndarray, max_error: float, least_overlap: int) -> list[tuple[str, int, float]]:
         """(query, offset, bit error) of each query that other aligns with; other begins offset positions later in the query."""
-        votes: dict[int, int] = {}
-        reach = 1 << 31
-        for begin in range(0, len(other), 2048):
-            part = other[begin : begin + 2048]
-            first, last = np.searchsorted(self.every, part, "left"), np.searchsorted(self.every, part, "right")
-            many = last - first
-            if not many.any():
-                continue
-            mine = np.repeat(np.arange(len(part)), many) + begin
-            hit = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            code = (self.owner[hit] << 32) + (self.place[hit] - mine + reach)
-            for c, n in zip(*(x.tolist() for x in np.unique(code, return_counts=True)), strict=True):
-                votes[c] = votes.get(c, 0) + n
-        best: dict[int, tuple[float, int, int]] = {}
-        for c, n in votes.items():
-            if n < least_votes:
-                continue
-            q, offset = c >> 32, (c & 0xFFFFFFFF) - reach
-            query = self.values[q]
-            a, b = max(0, offset), min(len(query), len(other) + offset)
-            if b - a < min(least_overlap, len(query), len(other)):
-                continue
-            x = query[a:b] ^ other[a - offset : b - offset]
-            error = float(_POP[x & 0xFFFF].sum() + _POP[x >> 16].sum()) / (32 * (b - a))
-            if error <= max_error:
-                best[q] = min(best.get(q, (2.0, 0, 0)), (error, abs(offset), offset))
-        return [(self.names[q], offset, error) for q, (error, _, offset) in sorted(best.items())]
-
-
-def align(found: DataFrame, queries: DataFrame, least_votes: int = 3, max_error: float = 0.2, least_overlap: int = 24, block: int = 1024) -> DataFrame:
+        n, out = len(other), []
+        if not n:
+            return out
+        sizes = np.array([len(v) for v in self.values], dtype=np.int64)
+        least = np.maximum(1, np.minimum(least_overlap, np.minimum(sizes, n)))
+        for every, counts, owner, offset, overlap in self._layout(n):
+            wrong = np.zeros(len(every) + n, dtype=np.int64 if n > 1 << 25 else np.int32)
+            for p, x in enumerate(other):
+                wrong[n - 1 - p : n - 1 - p + len(every)] += np.bitwise_count(every ^ x) * counts
+            error = wrong[: len(offset)] / (32 * np.maximum(overlap, 1))
+            best: dict[int, tuple[float, int, int]] = {}
+            for at in np.flatnonzero((error <= max_error) & (overlap >= least[owner])).tolist():
+                q, found = int(owner[at]), (float(error[at]), abs(int(offset[at])), int(offset[at]))
+                best[q] = min(best.get(q, found), found)
+            out += [(self.names[q], o, e) for q, (e, _, o) in sorted(best.items())]
+        return out
+
+
+def align(found: DataFrame, queries: DataFrame, max_error: float = 0.2, least_overlap: int = 24, block: int = 1024) -> DataFrame:
     """Rows (query, digest, offset, bit_error) between different classes.
 
     found: (digest, fingerprint), one row for each class. queries: the digests to search with.
@@ -207,7 +214,7 @@ def align(found: DataFrame, queries: DataFrame, least_votes: int = 3, max_error:
 
         def rows(batches):
             for batch in batches:
-                out = [(q, d, o, e) for d, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for q, o, e in shipped.value.aligned(np.frombuffer(f, dtype="<u4"), least_votes, max_error, least_overlap) if q != d]
+                out = [(q, d, o, e) for d, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for q, o, e in shipped.value.aligned(np.frombuffer(f, dtype="<u4"), max_error, least_overlap) if q != d]
                 columns = list(zip(*out, strict=True)) or [(), (), (), ()]
                 kinds = [pa.string(), pa.string(), pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query", "digest", "offset", "bit_error"])
