@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from array import array
 from collections.abc import Callable
 from typing import Any
 
@@ -16,7 +17,7 @@ from emberlog.functions.textfx import strip
 from emberlog.operators.gate import process
 from emberlog.operators.graph import INCIDENT_FIELDS, context_struct, contexts
 from emberlog.operators.incident import incidents
-from emberlog.runtime import ensure_importable
+from emberlog.runtime import ensure_importable, materialize
 
 COUNTED = ("iocs", "cves", "assets", "services", "attack_stages")
 
@@ -74,26 +75,44 @@ def test_count(n: int, ratio: float) -> int:
     return max(1, min(n - 1, round(n * ratio)))
 
 
-MAX_EXACT = 5_000_000
+LITERAL_ROWS = 5_000_000
+BLOCK_BITS = 16
+
+
+def _joined(examples: DataFrame, bits: bytearray) -> DataFrame:
+    """examples with split by a table of the bits, one row for each 2**BLOCK_BITS source_index values."""
+    size = 1 << (BLOCK_BITS - 3)
+    spark = examples.sparkSession
+    rows = [(k, bytes(bits[k * size : (k + 1) * size])) for k in range(-(-len(bits) // size))]
+    table = materialize(spark.createDataFrame(rows, "__block long, __bits binary"), "split-bits")
+    at = F.col("source_index").cast("long")
+    within = at.bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.shiftright(within, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    in_test = F.expr("shiftleft(1, cast(source_index & 7 as int))").bitwiseAND(byte) != 0
+    joined = examples.withColumn("__block", F.shiftright(at, BLOCK_BITS)).join(F.broadcast(table) if len(bits) < 1 << 25 else table, "__block", "left")
+    return joined.withColumn("split", F.when(in_test, "test").otherwise("train")).select(*examples.columns, "split")
 
 
 def with_split(examples: DataFrame, ratio: float = dims.TEST_RATIO, seed: int = dims.SPLIT_SEED, exact: bool = True) -> DataFrame:
     """examples with split ('train' or 'test'); source_index must run from 0 without gaps.
 
-    exact follows the seeded shuffle of positions that a single process would make; its permutation
-    is built on the driver, for at most MAX_EXACT rows. Otherwise (or beyond) rows are ranked by a
-    seeded hash, in parallel: an exact count, but other members.
+    exact follows the seeded shuffle of positions that a single process would make, at every size; its
+    permutation is built on the driver (4 bytes a row) and becomes one bit a row: a literal up to
+    LITERAL_ROWS rows, beyond it a table of blocks that is joined. Otherwise rows are ranked by a seeded
+    hash, in parallel: an exact count, but other members.
     """
     if not 0.0 < ratio < 1.0:
         raise ValueError("test_ratio must be greater than 0 and less than 1.")
     n = examples.count()
     wanted = test_count(n, ratio)
-    if exact and n <= MAX_EXACT:
-        order = list(range(n))
+    if exact:
+        order = array("i" if n < 1 << 31 else "q", range(n))
         random.Random(seed).shuffle(order)
         bits = bytearray(-(-n // 8))
         for i in order[:wanted]:
             bits[i >> 3] |= 1 << (i & 7)
+        if n > LITERAL_ROWS:
+            return _joined(examples, bits)
         at = F.col("source_index").cast("int")
         byte = F.conv(F.substring(F.hex(F.lit(bytes(bits))), (F.shiftright(at, 3) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
         in_test = F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(source_index as int) & 7)")) != 0
