@@ -27,17 +27,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberlog.functions.textfx import let
+
 LEAST = 20
-_CANDIDATE = rf"[A-Za-z0-9_+/\-]{{{LEAST},}}+={{0,2}}"
+_RUN = rf"[A-Za-z0-9_+/\-]{{{LEAST},}}+={{0,2}}"
 _PRESENT = rf"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{{{LEAST}}}"
-#: A word that names a secret, what assigns to it, and the value: up to its quote, or up to white space or a bracket.
+#: A word that names a secret (at most 64 characters before its end), what assigns to it, and the value: up to its quote, or up to white space or a bracket.
 _NAMING = "key|token|secret|passw|pwd|auth|credential|bearer"
-_KEYED = rf"(?=[\p{{L}}\p{{N}}_]*?(?i:{_NAMING}))([\p{{L}}\p{{N}}_]++)[\"'`]?\s{{0,8}}(?:=>|:=|[:=])\s{{0,8}}(?:[\"'`]([^\s\"'`]++)(?:[\"'`])|([^\s\"'`<>,;&(){{}}\[\]]*[^\s\"'`<>,;&(){{}}\[\].:=]))"
+_LETTER = r"[\p{L}\p{N}_]"
+_NAMED = rf"(?i:{_NAMING}){_LETTER}{{0,64}}"
+_KEYED = rf"(?<!{_LETTER})(?={_LETTER}++[\"'`]?\s{{0,8}}[:=])(?={_LETTER}*?{_NAMED}+(?!{_LETTER}))({_LETTER}++)[\"'`]?\s{{0,8}}(?:=>|:=|[:=])\s{{0,8}}(?:[\"'`]([^\s\"'`]++)(?:[\"'`])|([^\s\"'`<>,;&(){{}}\[\]]*[^\s\"'`<>,;&(){{}}\[\].:=]))"
 #: user:password@ with or without a scheme before it.
-_LOGIN = r"(?<![A-Za-z0-9.%+\-])((?:[A-Za-z][A-Za-z0-9+.\-]{1,20}://)?[A-Za-z0-9._%+\-]{0,64}:)([^\s\"'`/@:][^\s\"'`/@]*+)@(?=[A-Za-z0-9\[])"
+_LOGIN = r"(?<![A-Za-z0-9.%+\-])((?:[A-Za-z][A-Za-z0-9+.\-]{1,20}://)?[A-Za-z0-9._%+\-]{0,64}:)([^\s\"'`/@:][^\s\"'`/@]*+)@"
 _AHEAD = r"(?=[A-Za-z0-9\[])"
-_RUN = rf"[A-Za-z0-9_+/\-]{{{LEAST},}}+={{0,2}}"
-_PIECES = rf"{_LOGIN}|{_KEYED}|{_RUN}|(?:(?![A-Za-z0-9_+/\-]{{{LEAST}}})[A-Za-z0-9_]++|[[\p{{L}}\p{{N}}]&&[^\x00-\x7F]]++)++"
+#: What every text with such a value holds: tests that cost little where there is none.
+_KEYED_HINT = rf"[:=](?<={_NAMED}[\"'`]?\s{{0,8}}[:=])"
+_LOGIN_HINT = rf":[^\s\"'`/@:][^\s\"'`/@]*+@{_AHEAD}"
+_ALONE = rf"(?<![A-Za-z0-9_+/\-]){_RUN}"
+_CANDIDATE = rf"{_LOGIN}{_AHEAD}|{_KEYED}|{_ALONE}"
+_BESIDE = 200  # characters before and after a candidate in which its neighbours are looked for
 _KEY_WORDS = "key|token|secret|passw|pwd|auth|credential|bearer|api|private|sk_|access|:$"
 _HASH_WORDS = "sha|commit|hash|md5|checksum|digest|etag|uuid|guid|integrity|revision|trace|request_?id|build|fingerprint|blob|tree|object"
 _PATHS = "test|example|sample|fixture|mock|docs?|lock|vendor|changelog|dist|min"
@@ -294,24 +302,36 @@ def trained_forest(spark: SparkSession, n: int = 3000, seed: int = 5) -> list:
     return list(_trained(spark, n, seed))
 
 
-def findings(text: Column, path: Column) -> Column:
-    """The array of candidates of a text, each with neighbours and features; null where there is none."""
-    word = lambda w: F.regexp_replace(w, "^\u0001", "")
-    at = lambda words, i: F.coalesce(word(F.get(words, i)), F.lit(""))
+def findings(text: Column) -> Column:
+    """The array of candidates of a text, each with its neighbours; null where there is none.
 
-    def parts(w: Column, pattern: str, groups: tuple[int, ...]) -> Column:
-        """The word before a value, the value (marked), and the runs inside it where it is no run itself."""
-        value = F.concat(*[F.regexp_extract(w, pattern, k) for k in groups])
-        inside = F.when(value.rlike(rf"^{_RUN}$"), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(value, F.lit(_RUN), F.lit(0)))
-        return F.concat(F.array(F.regexp_extract(w, pattern, 1), F.concat(F.lit("\u0001"), value)), inside)
+    Neighbours are words within _BESIDE characters; a candidate that stands there counts as words too. The words
+    before a named value are the name and the word before it.
+    """
+    told = text.rlike(_LOGIN_HINT) | text.rlike(_KEYED_HINT)
+    cut = let(F.when(told, F.lit(_CANDIDATE)).otherwise(F.lit(_ALONE)), lambda p: F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("found"), F.split(text, p, -1).alias("gaps")))
+    at = lambda array, i: F.coalesce(F.get(array, i), F.lit(""))
 
-    found = F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0))
-    pieces = F.flatten(F.transform(found, lambda w: F.when(w.rlike(r"^[\p{L}\p{N}_]++$"), F.array(w)).when(w.rlike(rf"^{_LOGIN[:-len(_AHEAD)]}$"), parts(w, _LOGIN[: -len(_AHEAD)], (2,))).when(w.rlike(rf"^{_KEYED}"), parts(w, _KEYED, (2, 3))).otherwise(F.array(w))))
-    looked = F.filter(
-        F.transform(pieces, lambda w, i: F.when(w.startswith("\u0001") | ((F.length(w) >= LEAST) & w.rlike(rf"^{_CANDIDATE}$")), F.struct(word(w).alias("value"), at(pieces, i - 1).alias("before"), at(pieces, i - 2).alias("near"), at(pieces, i + 1).alias("after")))),
-        lambda c: c.isNotNull(),
-    )
-    return F.when(text.rlike(_PRESENT) | text.rlike(_KEYED) | text.rlike(_LOGIN), looked)
+    def one(whole: Column, ahead: Column, behind: Column) -> Column:
+        words = F.regexp_extract_all(F.right(ahead, F.lit(_BESIDE)), F.lit(rf"{_LETTER}+"), F.lit(0))
+        last, other = at(words, F.size(words) - 1), at(words, F.size(words) - 2)
+        after = F.regexp_extract(F.left(behind, F.lit(_BESIDE)), rf"{_LETTER}+", 0)
+        made = lambda value, before, near: F.struct(value.alias("value"), before.alias("before"), near.alias("near"), after.alias("after"))
+
+        def named(pattern: str, groups: tuple[int, ...]) -> Column:
+            """The value, and the runs inside it where it is no run itself."""
+            value, name = F.concat(*[F.regexp_extract(whole, pattern, k) for k in groups]), F.regexp_extract(whole, pattern, 1)
+            inside = F.when(value.rlike(rf"^{_RUN}$"), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(value, F.lit(_RUN), F.lit(0)))
+            return F.transform(F.concat(F.array(value), inside), lambda v: made(v, name, last))
+
+        return F.when(whole.rlike(rf"^{_RUN}$"), F.array(made(whole, last, other))).when(whole.rlike(rf"^{_LOGIN}$"), named(_LOGIN, (2,))).otherwise(named(_KEYED, (2, 3)))
+
+    def every(parts: Column) -> Column:
+        found, gaps = parts["found"], parts["gaps"]
+        return F.flatten(F.transform(found, lambda c, i: one(c, F.concat(at(found, i - 1), F.lit(" "), at(gaps, i)), F.concat(at(gaps, i + 1), F.lit(" "), at(found, i + 1)))))
+
+    looked = let(cut, every)
+    return F.when(text.rlike(_PRESENT) | told, looked)
 
 
 def scan(docs: DataFrame, text_col: str = "text", path_col: str | None = "source", cut: float = 0.5) -> DataFrame:
@@ -319,7 +339,7 @@ def scan(docs: DataFrame, text_col: str = "text", path_col: str | None = "source
     trees = trained_forest(docs.sparkSession)
     path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    pieces = docs.withColumn("__found", findings(text, path))
+    pieces = docs.withColumn("__found", findings(text))
     numbered = pieces.withColumn("__found", F.transform("__found", lambda c: F.struct(c.alias("c"), features(c["value"], c["before"], c["near"], c["after"], path).alias("f"))))
     scored = F.transform("__found", lambda c: F.struct(c["c"].alias("c"), forest_score(trees, c["f"]).alias("score")))
     judged = F.transform(scored, lambda c: F.struct(c["c"]["value"].alias("value"), c["c"]["before"].alias("before"), c["c"]["near"].alias("near"), c["c"]["after"].alias("after"), c["score"].alias("score"), (c["score"] >= cut).alias("is_secret")))

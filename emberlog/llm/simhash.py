@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import blank_words, clash_free, map_rows, utf8
+from emberlog.llm.common import blank_words, map_rows, utf8
 from emberlog.llm.components import connected_components
 from emberlog.runtime import materialize
 
@@ -32,6 +32,7 @@ BITS = 64
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _CHUNK = 1 << 16
+BROADCAST_ROWS = 500_000  # of a few numbers each: some 20 MB
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -121,36 +122,52 @@ def _within(queries: np.ndarray, planes: np.ndarray, radius: int) -> tuple[np.nd
     return left, ~beyond()
 
 
-def links_within(values: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of fingerprints within radius, found block by block through bit planes."""
+def near_blocks(values: np.ndarray, radius: int, block: int = 256):
+    """Index pairs i < j of fingerprints within radius, through bit planes: the pairs of some queries at a time.
+
+    The first queries come few at a time, so that whoever gathers classes has most of a crowded group in
+    one class before the large blocks come.
+    """
     planes = bit_planes(values)
-    firsts, seconds = [], []
-    for start in range(0, len(values), block):
+    start, width = 0, min(8, block)
+    while start < len(values):
         from_word = start // 64  # lanes before this block were compared when they were the queries
-        left, lanes = _within(values[start : start + block], planes[:, from_word:], radius)
+        left, lanes = _within(values[start : start + width], planes[:, from_word:], radius)
         if len(left):
             hit = np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little")
             i, j = np.nonzero(hit)
             i, j = left[i] + start, j + from_word * 64
             keep = (i < j) & (j < len(values))
-            firsts.append(i[keep])
-            seconds.append(j[keep])
+            yield i[keep], j[keep]
+        start, width = start + width, min(2 * width, block)
+
+
+def links_within(values: np.ndarray, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of near_blocks at once: for few fingerprints."""
     empty = np.zeros(0, dtype=np.int64)
-    return np.concatenate([empty, *firsts]), np.concatenate([empty, *seconds])
+    made = [(empty, empty), *near_blocks(values, radius, block)]
+    return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
 
 
-def forest(size: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the links: (member, smallest index), without the centres."""
-    label = np.arange(size)
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Join the classes of i and j, in place; label names each member's smallest index of its class."""
     while True:
-        before = label.copy()
-        least = np.minimum(label[i], label[j])
-        np.minimum.at(label, i, least)
-        np.minimum.at(label, j, least)
-        label = label[label]
-        if (label == before).all():
-            break
-    members = np.flatnonzero(label != np.arange(size))
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            above = label[label]
+            if (above == label).all():
+                break
+            label[:] = above
+
+
+def star(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, smallest index of its class), without the centres."""
+    members = np.flatnonzero(label != np.arange(len(label)))
     return members, label[members]
 
 
@@ -179,8 +196,10 @@ def group_links(radius: int, group_limit: int | None):
     """For sorted (key, fp) rows: rows (u, v, 0) that span each group's links, or (fp, fp, 1) of groups beyond the limit."""
 
     def finish(values: np.ndarray):
-        i, j = links_within(values, radius)
-        members, centres = forest(len(values), i, j)
+        label = np.arange(len(values))
+        for i, j in near_blocks(values, radius):
+            unite(label, i, j)
+        members, centres = star(label)
         return values[members], values[centres]
 
     def rows(batches):
@@ -240,11 +259,27 @@ def _keys(blocks: int, radius: int) -> list[tuple[int, int]]:
     return [(n, signed(sum(chosen))) for n, chosen in enumerate(combinations(masks, blocks - radius))]
 
 
+def _sized(small: DataFrame) -> DataFrame:
+    """small, broadcast where it has few rows; else Spark joins it as any table (and splits hot keys)."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def _linked(distinct: DataFrame, radius: int, blocks: int, group_limit: int | None, name: str) -> DataFrame:
+    """(u, v, kind) as of group_links. Groups that are counted beyond the limit are told apart before anything is dealt by key."""
     keys = F.array(*[F.struct(F.lit(n).alias("n"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")) for n, mask in _keys(blocks, radius)])
     dealt = distinct.select("fp", F.explode(keys).alias("k")).select("k.n", "k.key", "fp")
+    gone = None
+    if group_limit:
+        crowded = materialize(dealt.groupBy("n", "key").count().where(F.col("count") > group_limit).select("n", "key"), name + "-keys")
+        if crowded.limit(1).count():
+            crowded = _sized(crowded)
+            gone = dealt.join(crowded, ["n", "key"], "left_semi").select("fp").distinct()
+            dealt = dealt.join(crowded, ["n", "key"], "left_anti")
     ordered = dealt.repartition("n", "key").sortWithinPartitions("n", "key")
-    return materialize(map_rows(ordered, group_links(radius, group_limit), "u long, v long, kind int"), name)
+    found = map_rows(ordered, group_links(radius, group_limit), "u long, v long, kind int")
+    if gone is not None:
+        found = found.unionAll(gone.select(F.col("fp").alias("u"), F.col("fp").alias("v"), F.lit(1).alias("kind")))
+    return materialize(found, name)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42, radius: int = 2, blocks: int = 4, group_limit: int = 4096) -> DataFrame:
@@ -253,8 +288,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-classes")
     found = _linked(classes.select("fp"), radius, blocks, group_limit, "simhash-links")
     edges = found.where("kind = 0").select("u", "v")
-    crowded = found.where("kind = 1").select(F.col("u").alias("fp")).distinct()
     if found.where("kind = 1").limit(1).count():
+        crowded = found.where("kind = 1").select(F.col("u").alias("fp")).distinct()
         edges = edges.unionAll(_linked(crowded, radius, 8, None, "simhash-crowded").select("u", "v"))
     of_class = _components_of(classes, edges)
     return made.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -272,10 +307,9 @@ def _components_of(classes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # Near copies: five-word shingles, similarity of 0.8 or more -------------------------------------
 
-BROADCAST_IDS = 1_000_000
 RADIUS = 96
-GROUP_SHINGLES = 8_000_000  # of a part of a group: 32 MB
-WORDS_WIDE, BANDS, BAND_ROWS = 4, 10, 3  # 256 bits; two texts of similarity 0.8 share a band but for 1 pair in 1,200
+GROUP_SHINGLES = 2_000_000  # of a part of a group: 8 MB
+WORDS_WIDE, BANDS, BAND_ROWS = 4, 20, 4  # 256 bits; two texts of similarity 0.8 share a band but for 1 pair in 38,000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 _PERMUTED = np.random.default_rng(17).integers(1, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -304,30 +338,30 @@ def sketch(text: bytes, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndar
             else:
                 for k in range(8):
                     totals[lane, 8 * k : 8 * k + 8] += np.bincount(octets[:, k], minlength=256) @ _BITS_OF_BYTE
-        for begin in range(0, len(hashes), 2048):
-            least = np.minimum(least, (hashes[begin : begin + 2048, None] * _PERMUTED).min(axis=0))
+        for begin in range(0, len(hashes), 1024):
+            least = np.minimum(least, (hashes[begin : begin + 1024, None] * _PERMUTED).min(axis=0))
     bits = np.packbits(2 * totals > len(distinct), axis=1, bitorder="little").view(np.uint64).ravel()
     rows = least.reshape(BANDS, BAND_ROWS)
-    keys = np.bitwise_xor.reduce((rows ^ (rows >> np.uint64(31))) * _MIX[:BAND_ROWS], axis=1)
+    keys = np.bitwise_xor.reduce((rows ^ (rows >> np.uint64(31))) * _MIX, axis=1)
     return bits, keys, np.unique((distinct >> np.uint64(32)).astype(np.uint32))
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
-    """Rows (doc_id, fp, w0..w3, keys, shingles); fp is one number for the set of shingles. A narrow pass over whole texts."""
+    """Rows (doc_id, th, fp, w0..w3, keys, shingles); fp is one number for the set of shingles, th one for the text. A narrow pass over whole texts."""
 
     def rows(batches):
         for batch in batches:
-            made = [sketch(t.as_buffer().to_pybytes(), width) for t in batch.column(1)]
+            made = [sketch(t.as_buffer().to_pybytes(), width) for t in batch.column(2)]
             wide = np.array([m[0] for m in made], dtype=np.uint64).reshape(-1, WORDS_WIDE).view(np.int64)
             keys = np.array([m[1] for m in made], dtype=np.uint64).reshape(-1, BANDS).view(np.int64)
             whole = np.array([xxhash.xxh64_intdigest(m[2].tobytes()) if len(m[2]) else 0 for m in made], dtype=np.uint64).view(np.int64)
             shingles = pa.array([m[2].astype("<u4").tobytes() for m in made], pa.binary())
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            columns = [batch.column(0), pa.array(whole), *(pa.array(wide[:, k].copy()) for k in range(WORDS_WIDE)), listed, shingles]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *_WIDE, "keys", "shingles"])
+            columns = [batch.column(0), batch.column(1), pa.array(whole), *(pa.array(wide[:, k].copy()) for k in range(WORDS_WIDE)), listed, shingles]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "th", "fp", *_WIDE, "keys", "shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_rows(docs.select("doc_id", utf8("text").alias("text")), rows, f"doc_id {kind}, fp long, {', '.join(f'{w} long' for w in _WIDE)}, keys array<long>, shingles binary")
+    return map_rows(docs.select("doc_id", _text_hash().alias("th"), utf8("text").alias("text")), rows, f"doc_id {kind}, th long, fp long, {', '.join(f'{w} long' for w in _WIDE)}, keys array<long>, shingles binary")
 
 
 _WIDE = tuple(f"w{k}" for k in range(WORDS_WIDE))
@@ -353,43 +387,51 @@ def shared_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
     return total[i, j].astype(np.int64)
 
 
+def _similar(sets: list[np.ndarray], size: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets i and j have at least this Jaccard similarity, for each pair."""
+    hit = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+    i, j = i[hit], j[hit]
+    used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    shared = shared_counts([sets[k] for k in used.tolist()], place[: len(i)], place[len(i) :])
+    hit[hit] = shared >= similarity * (size[i] + size[j] - shared)
+    return hit
+
+
 def verified_links(similarity: float, radius: int):
-    """For (mark, cell, part, fp, w0..w3, shingles) rows sorted by mark and cell: (u, v) that span the links of each cell.
+    """For (mark, cell, side, fp, w0..w3, shingles) rows sorted by mark and cell: (u, v) that span the links of each cell.
 
-    Every pair of a cell within the radius is compared by its shingles first; the forest is made of those that
-    are similar enough. A cell of two parts compares only pairs across them.
+    Pairs within the radius come from the bit planes, some queries at a time. Those whose texts are in one class
+    already need no look at their shingles; the others are compared, and joined if similar enough. No pair outlives
+    its block. A cell of two sides compares only pairs across them.
     """
 
-    def links(part, wide, sets):
-        if len(sets) <= SMALL:
-            i, j = np.triu_indices(len(sets), 1)
-            near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= radius
-            i, j = i[near], j[near]
-        else:
-            i, j = links_within(wide, radius, 128)
-        size = np.array([len(x) for x in sets])
-        keep = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
-        if (part != part[0]).any():
-            keep &= part[i] != part[j]
-        i, j = i[keep], j[keep]
-        shared = shared_counts(sets, i, j)
-        hit = shared >= similarity * (size[i] + size[j] - shared)
-        return forest(len(sets), i[hit], j[hit])
+    def links(side, wide, sets):
+        label, size = np.arange(len(sets)), np.array([len(x) for x in sets])
+        across = (side != side[0]).any()
+        for i, j in near_blocks(wide, radius, 128):
+            keep = label[i] != label[j]
+            if across:
+                keep &= side[i] != side[j]
+            i, j = i[keep], j[keep]
+            if len(i):
+                hit = _similar(sets, size, i, j, similarity)
+                unite(label, i[hit], j[hit])
+        return star(label)
 
     def rows(batches):
         held_key, held = None, []
 
         def close():
-            part, fps, wide = (np.concatenate([h[k] for h in held]) for k in range(3))
+            side, fps, wide = (np.concatenate([h[k] for h in held]) for k in range(3))
             if len(fps) < 2:
                 return None
-            members, centres = links(part, wide, [x for h in held for x in h[3]])
+            members, centres = links(side, wide, [x for h in held for x in h[3]])
             return (fps[members], fps[centres]) if len(members) else None
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mark, cell, part, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            mark, cell, side, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             wide = np.stack([batch.column(4 + k).to_numpy(zero_copy_only=False) for k in range(WORDS_WIDE)], axis=1).view(np.uint64)
             sets = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in batch.column(4 + WORDS_WIDE)]
             starts = [0, *(np.flatnonzero((mark[1:] != mark[:-1]) | (cell[1:] != cell[:-1])) + 1).tolist(), len(fps)]
@@ -400,7 +442,7 @@ def verified_links(similarity: float, radius: int):
                     if held and (made := close()) is not None:
                         done.append(made)
                     held_key, held = key, []
-                held.append((part[begin:end], fps[begin:end], wide[begin:end], sets[begin:end]))
+                held.append((side[begin:end], fps[begin:end], wide[begin:end], sets[begin:end]))
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], ["u", "v"])
         if held and (made := close()) is not None:
@@ -409,58 +451,107 @@ def verified_links(similarity: float, radius: int):
     return rows
 
 
+def _beside(similarity: float):
+    """Of rows (mark, fp, pivot, two sets of shingles): mark, fp and pivot where the sets are similar enough."""
+
+    def rows(batches):
+        for batch in batches:
+            hit = []
+            for a, b in zip(batch.column(3), batch.column(4), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), dtype="<u4") for x in (a, b))
+                near = min(len(a), len(b)) >= similarity * max(len(a), len(b))
+                if near:
+                    shared = int(np.isin(a, b, assume_unique=True).sum())
+                    near = shared >= similarity * (len(a) + len(b) - shared)
+                hit.append(near)
+            yield pa.RecordBatch.from_arrays(batch.columns[:3], ["mark", "fp", "pivot"]).filter(pa.array(hit, pa.bool_()))
+
+    return rows
+
+
+def _crowded_cells(crowded: DataFrame, sets: DataFrame, similarity: float, group_limit: int) -> tuple[DataFrame, DataFrame]:
+    """Of groups (mark, members, total, fp) too large for one task: (u, v) edges, and (mark, cell, side, fp) cells for the pairs still open.
+
+    Every text is compared with one text of its group, the pivot. Those that link to it are one class and need no look
+    at each other. What remains is cut into parts, each of which meets each part of the whole group in a cell:
+    the work is the product of the rest and the group, not the group's square.
+    """
+    pivots = materialize(crowded.groupBy("mark").agg(F.min("fp").alias("pivot")), "near-pivots")
+    beside = crowded.select("mark", "fp").join(_sized(pivots), "mark").where("fp <> pivot")
+    both = beside.join(sets.select("fp", "shingles"), "fp").join(sets.select(F.col("fp").alias("pivot"), F.col("shingles").alias("others")), "pivot")
+    linked = materialize(map_rows(both.select("mark", "fp", "pivot", "shingles", "others"), _beside(similarity), "mark long, fp long, pivot long"), "near-linked")
+    rest = beside.select("mark", "fp").join(linked.select("mark", "fp"), ["mark", "fp"], "left_anti").join(sets.select("fp", (F.length("shingles") / 4).alias("size")), "fp")
+    rest = materialize(rest, "near-rest")
+    parts = lambda n, total: F.greatest(F.ceil(F.col(n) / group_limit), F.ceil(F.col(total) / GROUP_SHINGLES))
+    counts = rest.groupBy("mark").agg(F.count("*").alias("left"), F.sum("size").alias("left_total"))
+    sizes = crowded.groupBy("mark").agg(F.first("members").alias("members"), F.first("total").alias("total"))
+    dims = materialize(counts.join(sizes, "mark").select("mark", parts("left", "left_total").alias("rows"), parts("members", "total").alias("columns")), "near-parts")
+    dims = _sized(dims)
+    cell = F.col("row") * F.lit(1 << 31) + F.col("column")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("fp", "mark"), n)
+    asking = rest.select("mark", "fp").join(dims, "mark").select("mark", part("rows").alias("row"), every("columns").alias("column"), F.lit(1).alias("side"), "fp")
+    asked = crowded.select("mark", "fp").join(dims, "mark").select("mark", every("rows").alias("row"), part("columns").alias("column"), F.lit(0).alias("side"), "fp")
+    cells = asking.unionByName(asked).select("mark", cell.alias("cell"), "side", "fp")
+    return linked.select(F.col("fp").alias("u"), F.col("pivot").alias("v")), cells
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = RADIUS, group_limit: int = 2048) -> DataFrame:
-    """Rows (doc_id, fingerprint, component_id): texts whose sets of shingles have at least this Jaccard similarity are linked.
+    """Rows (doc_id, th, fingerprint, component_id, first): texts whose sets of shingles have at least this Jaccard similarity are linked.
+
+    th is the XXH64 of the text; component_id is the smallest doc_id of the component; first is the (nameless, doc_id, th) of the row that stands for the component: the one
+    of the smallest doc_id, of the smallest th among rows of one id, and one without an id only where none has one.
 
     Equal sets form a class. Classes meet where a MinHash band agrees; groups of the same members
-    are one group. The shingles go along to each group, where every pair whose 256-bit SimHashes lie
-    within the radius is verified on them; only then is a group thinned to a forest. A similarity of
+    are one group. The shingles go along to each group, where pairs whose 256-bit SimHashes lie
+    within the radius are verified on them, unless their texts are in one class by then. A similarity of
     0.8 lies at 39 of 256 bits, give or take 6; where texts have few shingles at 48 at most (four against five),
     give or take 6.2. The radius lies more than seven such deviations beyond either.
-    Groups beyond the limit (of texts, or of shingles) are cut into parts, and every two parts
-    meet in a cell of their own. Blank texts are copies of each other.
+    Groups beyond the limit (of texts, or of shingles) are counted first and never meet in one task, see _crowded_cells.
+    Blank texts are copies of each other. Repeated rows keep their rows. An empty table gives none.
     """
-    from pyspark.sql import Window
-
     docs = docs.select("doc_id", "text")
-    made = materialize(sketches(docs, width).select("doc_id", "fp", "keys", (F.length("shingles") / 4).cast("long").alias("size")), "sketches")
-    classes = materialize(made.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "sketch-classes")
-    one = made.select("fp", "keys", "size").where("fp <> 0").dropDuplicates(["fp"])
-    group = Window.partitionBy("n", "key")
-    dealt = one.select(F.posexplode("keys").alias("n", "key"), "fp", "size").select(
-        "fp", F.count("*").over(group).alias("members"), F.sum("size").over(group).alias("total"), F.bit_xor(F.xxhash64("fp")).over(group).alias("mark")
-    )
-    parts = F.greatest(F.ceil(F.col("members") / group_limit), F.ceil(F.col("total") / GROUP_SHINGLES))
-    groups = materialize(dealt.where("members > 1").select(F.xxhash64("mark", "members", "total").alias("mark"), parts.alias("parts"), "fp").distinct(), "near-groups")
-    asked = groups.select("fp").distinct()
-    # Only texts that share a band are cut into shingles again: one row for each class, found by its fp.
-    mine = classes.join(asked, "fp", "left_semi").select(F.col("least_id").alias("__id")).distinct()
-    if mine.count() <= BROADCAST_IDS:  # else the texts are shuffled once more
-        mine = F.broadcast(mine)
-    texts = sketches(docs.join(mine, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi"), width)
-    sets = materialize(texts.select("fp", *_WIDE, "shingles").join(asked, "fp", "left_semi").dropDuplicates(["fp"]), "near-sets")
-    placed = groups.withColumn("part", F.pmod(F.xxhash64("fp", "mark"), "parts"))
-    met = placed.select("mark", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"), "part", "fp")
-    cells = met.select("mark", (F.least("part", "other") * F.lit(1 << 31) + F.greatest("part", "other")).alias("cell"), "part", "fp")
-    sorted_cells = cells.join(sets, "fp").select("mark", "cell", "part", "fp", *_WIDE, "shingles").repartition("mark", "cell").sortWithinPartitions("mark", "cell")
+    made = materialize(sketches(docs, width).drop(*_WIDE).withColumn("size", (F.length("shingles") / 4).cast("long")).drop("shingles"), "sketches")
+    of_row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")
+    classes = materialize(made.groupBy("fp").agg(F.min(of_row).alias("least_id"), F.first("keys").alias("keys"), F.first("size").alias("size")), "sketch-classes")
+    dealt = classes.where("fp <> 0").select(F.posexplode("keys").alias("n", "key"), "fp", "size")
+    met = dealt.groupBy("n", "key").agg(F.count("*").alias("members"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("fp")).alias("mark")).where("members > 1")
+    named = met.select("n", "key", F.xxhash64("mark", "members", "total").alias("mark"), "members", "total")
+    groups = materialize(dealt.select("n", "key", "fp").join(named, ["n", "key"]).select("mark", "members", "total", "fp").distinct(), "near-groups")
+    asked = materialize(groups.select("fp").distinct(), "near-asked")
+    # Only texts that share a band are cut into shingles again: one row for each class.
+    mine = classes.join(asked, "fp", "left_semi").select(F.col("least_id.doc_id").alias("__id"), F.col("least_id.th").alias("__th"))
+    again = docs.join(_sized(mine), F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_hash() == F.col("__th")), "left_semi")
+    sets = materialize(sketches(again, width).select("fp", *_WIDE, "shingles").dropDuplicates(["fp"]), "near-sets")
+    large = (F.col("members") > group_limit) | (F.col("total") > GROUP_SHINGLES)
+    cells = groups.where(~large).select("mark", F.lit(0).cast("long").alias("cell"), F.lit(0).alias("side"), "fp")
+    edges = None
+    if groups.where(large).limit(1).count():
+        edges, more = _crowded_cells(groups.where(large), sets, similarity, group_limit)
+        cells = cells.unionAll(more)
+    sorted_cells = cells.join(sets, "fp").select("mark", "cell", "side", "fp", *_WIDE, "shingles").repartition("mark", "cell").sortWithinPartitions("mark", "cell")
     verified = materialize(map_rows(sorted_cells, verified_links(similarity, radius), "u long, v long"), "near-links")
-    return made.select("doc_id", "fp").join(_components_of(classes, verified), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _components_of(classes.select("fp", "least_id"), verified if edges is None else verified.unionAll(edges))
+    return made.select("doc_id", "th", "fp").join(found, "fp").select("doc_id", "th", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id.doc_id").alias("component_id"), F.col("component_id").alias("first"))
+
+
+def _text_hash():
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
 
 
-def keep_first(docs: DataFrame, found: DataFrame, fingerprints_of=fingerprints) -> DataFrame:
-    """One row of docs for each component: that of its smallest doc_id, by text among repeated rows.
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of docs for each component of near_copies, the one that `first` names; of wholly repeated (doc_id, text) rows one.
 
-    fingerprints_of makes (doc_id, fp) rows the way `found` was made. A document without doc_id stays only if its component has no id at all, once for each such component.
+    Only what goes is looked up: as a table that is broadcast behind a check of its size.
     """
-    from pyspark.sql import Window
-
-    reps = found.where("component_id is not null").select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(reps, "doc_id", "left_semi")
-    turn = Window.partitionBy("doc_id").orderBy("text")
-    kept = kept.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").drop("__turn")
-    nameless = docs.where("doc_id is null")
-    lone = clash_free(found.where("component_id is null"), "fingerprint").distinct()
-    marked = fingerprints_of(nameless.select(F.col("text").alias("doc_id"), "text")).select(F.col("doc_id").alias("text"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")).distinct()
-    picked = marked.join(lone, "fingerprint", "left_semi").groupBy("fingerprint").agg(F.min("text").alias("text"))
-    extra = nameless.join(picked.select(F.col("text").alias("__text")), F.col("text").eqNullSafe(F.col("__text")), "left_semi").dropDuplicates(["text"])
-    return kept.unionByName(extra)
+    found = materialize(found.select("doc_id", "th", "first"), "near-found")
+    goes = found.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    goes = materialize(goes, "near-goes")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_hash() == F.col("__th"))
+    kept = docs.join(_sized(goes), same, "left_anti")
+    repeated = materialize(found.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")), "near-repeated")
+    if not repeated.limit(1).count():
+        return kept
+    repeated = _sized(repeated)
+    once = kept.join(repeated, same, "left_semi").withColumn("__th", _text_hash()).dropDuplicates(["doc_id", "__th"]).drop("__th")
+    return kept.join(repeated, same, "left_anti").unionByName(once)

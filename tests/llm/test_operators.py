@@ -162,7 +162,7 @@ def test_near_copies(spark, odd):
         assert [got[k] for k in range(len(texts))] == want
     found = simhash.near_copies(odd)
     assert found.count() == odd.count()
-    kept = simhash.keep_first(odd, found, simhash.sketches)
+    kept = simhash.keep_first(odd, found)
     texts_kept = Counter(r.text for r in kept.collect())
     assert texts_kept["same text here now"] == 1 and texts_kept["null id"] == 1 and kept.columns == odd.columns
     assert simhash.near_copies(odd.limit(0)).count() == 0
@@ -176,7 +176,7 @@ def test_secrets(spark, odd):
     assert "[secret]" in clean[0] and clean[1] == texts[1] and clean[4] is None
     trees = secrets.trained_forest(spark)
     scored = secrets.scan(frame).where("size(findings) > 0").select(F.explode("findings").alias("f")).select("f.*")
-    pieces = frame.select(F.explode(secrets.findings(F.col("text"), F.col("source"))).alias("c")).select(secrets.features(*[F.col(f"c.{x}") for x in ("value", "before", "near", "after")], F.lit("src")).alias("f"), F.col("c.value").alias("value")).collect()
+    pieces = frame.select(F.explode(secrets.findings(F.col("text"))).alias("c")).select(secrets.features(*[F.col(f"c.{x}") for x in ("value", "before", "near", "after")], F.lit("src")).alias("f"), F.col("c.value").alias("value")).collect()
     votes = {p.value: secrets.vote(trees, [p.f[k] for k in secrets.FEATURES]) for p in pieces}
     assert all(abs(votes[r.value] - r.score) < 1e-9 for r in scored.collect())
     assert secrets.report(odd).count() == odd.count()
