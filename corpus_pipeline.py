@@ -34,7 +34,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity 0.8) stays, the one of the smallest doc_id."""
     docs = clash_free(docs, *COLUMNS)
-    return simhash.keep_first(docs, simhash.near_copies(docs), simhash.sketches).select(*COLUMNS)
+    return simhash.keep_first(docs, simhash.near_copies(docs)).select(*COLUMNS)
 
 
 def cut_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
