@@ -6,9 +6,10 @@ each the difference of rectangle sums that an integral image gives at once, slid
 each yields two bits (Gray-coded level), so a position has one packed 32-bit integer.
 
 Search. Equal fingerprints form a class first, so copies cost nothing further. Queries are taken in
-blocks of a fixed number, which go to every task; each recording is compared bit by bit with each
-query at every offset, and the offset of least error links the two if it is low enough. The work is
-the product of their lengths; memory is bounded by the block and the offsets of one recording.
+blocks of bounded number and length, which go to every task; every two positions of a query and a
+recording vote, with the bits in which they agree, for the offset between them. The histograms are
+exact and hold every offset, so they give its bit error too; the offset of least error links the two
+if it is low enough. Votes are counted through spectra, so a pair costs little more than its length.
 
 Edge cases: null or too short recordings have no integers, share one class and link to nothing;
 repeated rows stay; null ids never name a class; ties go to the offset nearest zero, then the
@@ -148,61 +149,102 @@ def fingerprints_of_vectors(media: DataFrame, id_col: str, vector_col: str) -> D
 
 
 class Block:
-    """Some queries' integers, compared with another recording's integers at every offset."""
+    """Some queries, compared with recordings at every offset by offset histograms.
 
-    SLOTS = 1 << 20  # offsets that are held at once; a single query may have more
+    Every two positions vote for the offset between them with the bits they agree in (less those they don't). All
+    votes of a pair of recordings are one correlation of their bits, summed over the 32 filters' bits: a product of
+    spectra. The histogram is exact (whole numbers), and with the overlap it gives each offset's bit error.
+    """
+
+    CELLS = 1 << 18  # query positions and offsets whose spectra are held at once, 128 bytes each
+    BATCH = 32  # recordings that are compared at once
 
     def __init__(self, queries: list[tuple[str, np.ndarray]]):
         self.names = [q for q, _ in queries]
         self.values = [v for _, v in queries]
-        self._laid: tuple[int, list] = (-1, [])
-
-    def _layout(self, n: int) -> list:
-        """Parts of the queries for a recording of n positions: (integers, which count, then query, offset and overlap of each slot); n - 1 empty places follow each query."""
-        if self._laid[0] != n:
-            made, k = [], 0
-            while k < len(self.values):
-                first, starts, used = k, [], 0
-                while k < len(self.values) and (not starts or used + len(self.values[k]) + n - 1 <= self.SLOTS):
-                    starts.append(used)
-                    used += len(self.values[k]) + n - 1
-                    k += 1
-                every, counts = np.zeros(used, dtype=np.uint32), np.zeros(used, dtype=np.uint8)
-                for q, start in enumerate(starts, first):
-                    every[start : start + len(self.values[q])] = self.values[q]
-                    counts[start : start + len(self.values[q])] = 1
-                sizes = [len(v) for v in self.values[first:k]]
-                owner = np.repeat(np.arange(first, k), [x + n - 1 for x in sizes])
-                offset = np.concatenate([np.arange(1 - n, x) for x in sizes])
-                overlap = np.concatenate([np.minimum(x, n + np.arange(1 - n, x)) - np.maximum(0, np.arange(1 - n, x)) for x in sizes])
-                made.append((every, counts, owner, offset, overlap))
-            self._laid = (n, made)
-        return self._laid[1]
-
-    def aligned(self, other: np.ndarray, max_error: float, least_overlap: int) -> list[tuple[str, int, float]]:
-        """(query, offset, bit error) of each query that other aligns with; other begins offset positions later in the query."""
-        n, out = len(other), []
-        if not n:
-            return out
-        sizes = np.array([len(v) for v in self.values], dtype=np.int64)
-        least = np.maximum(1, np.minimum(least_overlap, np.minimum(sizes, n)))
-        for every, counts, owner, offset, overlap in self._layout(n):
-            wrong = np.zeros(len(every) + n, dtype=np.int64 if n > 1 << 25 else np.int32)
-            for p, x in enumerate(other):
-                wrong[n - 1 - p : n - 1 - p + len(every)] += np.bitwise_count(every ^ x) * counts
-            error = wrong[: len(offset)] / (32 * np.maximum(overlap, 1))
-            best: dict[int, tuple[float, int, int]] = {}
-            for at in np.flatnonzero((error <= max_error) & (overlap >= least[owner])).tolist():
-                q, found = int(owner[at]), (float(error[at]), abs(int(offset[at])), int(offset[at]))
-                best[q] = min(best.get(q, found), found)
-            out += [(self.names[q], o, e) for q, (e, _, o) in sorted(best.items())]
+        self.sizes = np.array([len(v) for v in self.values], dtype=np.int64)
+        classes: dict[int, list[int]] = {}
+        for k, n in enumerate(self.sizes.tolist()):
+            if n:
+                classes.setdefault(int(n - 1).bit_length(), []).append(k)
+        self.classes = list(classes.values())
+        self._kept: tuple = (None, None)
+
+    @staticmethod
+    def _spectra(values: list[np.ndarray], width: int) -> np.ndarray:
+        """(frequencies, recordings, 32): of each bit as 1 or -1, zero beyond the end."""
+        kind = np.float32 if width <= 4096 else np.float64  # sums must stay exact when rounded
+        made = np.empty((width // 2 + 1, len(values), 32), dtype=np.complex64 if kind is np.float32 else np.complex128)
+        for k, v in enumerate(values):
+            bits = np.zeros((width, 32), dtype=kind)
+            bits[: len(v)] = np.unpackbits(np.ascontiguousarray(v, dtype="<u4").view(np.uint8).reshape(-1, 4), axis=1) * kind(2) - kind(1)
+            made[:, k] = np.fft.rfft(bits, axis=0)
+        return made
+
+    def _overlaps(self, part: list[int], n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The offset of each of width places, and how many positions each query of part has in common with n there."""
+        offset = np.arange(width)
+        offset = np.where(offset <= width - n, offset, offset - width)
+        size = self.sizes[part][None, :]
+        return offset, np.maximum(0, np.minimum(size, n + offset[:, None]) - np.maximum(0, offset[:, None]))
+
+    def _compared(self, part: list[int], others: list[np.ndarray], width: int, max_error: float, least_overlap: int):
+        """Arrays (other, query, error, distance, offset) of the offsets that qualify."""
+        key = (width, tuple(part))
+        if self._kept[0] != key:
+            self._kept = (key, self._spectra([self.values[k] for k in part], width))
+        spectra = np.conj(self._spectra(others, width)).transpose(0, 2, 1)
+        votes = np.fft.irfft(self._kept[1] @ spectra, width, axis=0)
+        sizes = np.array([len(x) for x in others])
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            offset, overlap = self._overlaps(part, n, width)
+            least = np.maximum(1, np.minimum(least_overlap, np.minimum(self.sizes[part], n)))
+            needed = np.where(overlap >= least, 32 * overlap * (1 - 2 * max_error) - 0.5, np.inf).astype(votes.dtype)
+            chosen = votes if len(at) == len(others) else votes[:, :, at]
+            o, q, k = np.nonzero(chosen >= needed[:, :, None])
+            bits = 32 * overlap[o, q]
+            error = (bits - np.rint(chosen[o, q, k]).astype(np.int64)) // 2 / bits
+            hit = error <= max_error
+            o, q, k = o[hit], q[hit], k[hit]
+            yield at[k], np.array(part)[q], error[hit], np.abs(offset[o]), offset[o]
+
+    def aligned(self, others: list[np.ndarray], max_error: float, least_overlap: int) -> list[list[tuple[str, int, float]]]:
+        """For each other recording (query, offset, bit error) of each query that it aligns with; it begins offset positions later in the query."""
+        out: list[list] = [[] for _ in others]
+        waiting: dict[int, list[int]] = {}
+        for k, other in enumerate(others):
+            if len(other):
+                waiting.setdefault(int(len(other) - 1).bit_length(), []).append(k)
+        for members in waiting.values():
+            for group in self.classes:
+                longest = int(self.sizes[group].max()) + max(len(others[k]) for k in members) - 1
+                width = 1 << max(1, int(longest - 1).bit_length())
+                step = max(1, self.CELLS // width)
+                for first in range(0, len(group), step):
+                    part = group[first : first + step]
+                    batch = max(1, min(self.BATCH, self.BATCH * self.CELLS // (len(part) * width)))
+                    for begin in range(0, len(members), batch):
+                        at = np.array(members[begin : begin + batch])
+                        found = list(self._compared(part, [others[k] for k in at], width, max_error, least_overlap))
+                        k, q, error, far, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+                        order = np.lexsort((offset, far, error, q, k))
+                        k, q, error, offset = k[order], q[order], error[order], offset[order]
+                        best = np.ones(len(k), dtype=bool)
+                        best[1:] = (k[1:] != k[:-1]) | (q[1:] != q[:-1])
+                        for x, y, e, o in zip(at[k[best]].tolist(), q[best].tolist(), error[best].tolist(), offset[best].tolist(), strict=True):
+                            out[x].append((self.names[y], o, e))
         return out
 
 
+BLOCK_POSITIONS = 1 << 20  # integers of the queries that are searched with at once: 4 MB
+
+
 def align(found: DataFrame, queries: DataFrame, max_error: float = 0.2, least_overlap: int = 24, block: int = 1024) -> DataFrame:
     """Rows (query, digest, offset, bit_error) between different classes.
 
-    found: (digest, fingerprint), one row for each class. queries: the digests to search with.
+    found: (digest, fingerprint), one row for each class. queries: the digests to search with, which pass through the
+    driver one block at a time (of block recordings and BLOCK_POSITIONS integers at most, or one longer recording).
     """
     spark = found.sparkSession
     kept = found.join(queries.select("digest").distinct(), "digest", "left_semi").where(F.length("fingerprint") > 0)
@@ -214,7 +256,9 @@ def align(found: DataFrame, queries: DataFrame, max_error: float = 0.2, least_ov
 
         def rows(batches):
             for batch in batches:
-                out = [(q, d, o, e) for d, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for q, o, e in shipped.value.aligned(np.frombuffer(f, dtype="<u4"), max_error, least_overlap) if q != d]
+                digests = batch.column(0).to_pylist()
+                told = shipped.value.aligned([np.frombuffer(f.as_buffer(), dtype="<u4") for f in batch.column(1)], max_error, least_overlap)
+                out = [(q, d, o, e) for d, of in zip(digests, told, strict=True) for q, o, e in of if q != d]
                 columns = list(zip(*out, strict=True)) or [(), (), (), ()]
                 kinds = [pa.string(), pa.string(), pa.int64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["query", "digest", "offset", "bit_error"])
@@ -222,9 +266,10 @@ def align(found: DataFrame, queries: DataFrame, max_error: float = 0.2, least_ov
         parts.append(materialize(map_rows(found.select("digest", "fingerprint"), rows, "query string, digest string, offset long, bit_error double"), "alignments"))
 
     for r in kept.select("digest", "fingerprint").orderBy("digest").toLocalIterator():  # one block at a time on the driver
-        held.append((r["digest"], np.frombuffer(bytes(r["fingerprint"]), dtype="<u4")))
-        if len(held) == block:
+        values = np.frombuffer(bytes(r["fingerprint"]), dtype="<u4")
+        if held and (len(held) == block or sum(len(v) for _, v in held) + len(values) > BLOCK_POSITIONS):
             search()
+        held.append((r["digest"], values))
     if held or not parts:
         search()
     out = parts[0]

@@ -21,7 +21,7 @@ import zlib
 import numpy as np
 
 MAGIC, VERSION = b"EMID", 1
-LANES = 2048
+LANES = 4096
 _TOTAL, _BASE = 20, 17  # bits of all shares, and of order 0's
 _EIGHTH = 1 << _BASE
 _STATE, _LOW = 60, 28  # bits of a coder's range at most; below 2**_LOW it sends a word of 32 bits

@@ -7,8 +7,11 @@ part, block, offset (ids of the part before it), doc_ids, counts and the coded i
 decodes by itself, so reading is a narrow pass. Only one total for each written part reaches the
 driver (as many numbers as there were tasks), to place the parts one after another.
 
-Texts are cut at blanks and line feeds before the tokenizers library sees them, where this
-vocabulary (white space is dropped) always cuts; a bounded memo then saves repeated words.
+Texts are cut at blanks, line feeds and between an ASCII letter and a full stop, comma or the like
+before the tokenizers library sees them, where this vocabulary (white space is dropped, letters and
+marks never share a token) always cuts; only words that a bounded memo doesn't hold are encoded.
+The strings of the vocabulary's special tokens have none of these places, so they stay whole and
+get the ids that the library gives them.
 
 Edge cases: null and empty texts hold only the end id; null doc_ids come first; equal doc_ids
 stay together, ordered by text; an empty table makes an empty file. Extra columns are ignored.
@@ -18,10 +21,12 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import repeat
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,71 +41,117 @@ _WORKERS: dict[str, WordEncoder] = {}
 
 #: Stands between words that are encoded in one call. The library cuts there before it does anything else.
 _BETWEEN = "\ue000"
+_LETTER_MARK, _MARK_LETTER = r'([A-Za-z])([.,;:!?()"])', r'([.,;:!?()"])([A-Za-z])'
+_ONE_PIECE = r"^\p{L}+$"
+MEMO_CHARS = 64  # of a word that is remembered at most
+MEMO_WORDS, MEMO_IDS = 600_000, 16_000_000  # beyond either the memo starts anew: some 200 MB
 
 
 class WordEncoder:
     """Ids of a tokenizers vocabulary that drops white space, one word at a time.
 
-    Words are remembered in two generations: at the limit the younger becomes the older one, and
-    what is still in use comes back from there.
+    Words that were met have a slot: where their ids stand in `ids`. The memo is bounded in words and in bytes.
     """
 
-    def __init__(self, definition: str, memo_limit: int = 400_000):
+    def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import AddedToken, Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.alphabet = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.many = Tokenizer.from_str(definition)
-        self.many.encode_special_tokens = True
         self.many.add_tokens([AddedToken(_BETWEEN, special=False, normalized=False)])
+        for t in (self.tokenizer, self.many):
+            if hasattr(t.model, "_resize_cache"):  # the memo does this better
+                t.model._resize_cache(0)
         self.between = self.many.token_to_id(_BETWEEN)
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.memo_limit = memo_limit
-
-    def _fresh(self, words: list[str], at_once: int = 200):
-        """The ids of each word. Far cheaper than a call for each: many words make one text."""
-        joined = [_BETWEEN.join(words[k : k + at_once]) for k in range(0, len(words), at_once)]
-        for made in self.many.encode_batch_fast(joined, add_special_tokens=False):
-            ids = np.array(made.ids, dtype="<u4")
-            cuts = np.flatnonzero(ids == self.between) * 4
-            raw = ids.tobytes()
-            for begin, end in zip([0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True):
-                yield raw[begin:end]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text the ids as little-endian 32-bit integers."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > self.memo_limit:
-            self.older, self.memo = self.memo, {}
-        missing = set().union(*words) - self.memo.keys()
-        again = missing & self.older.keys()
-        self.memo.update((w, self.older[w]) for w in again)
-        fresh = list(missing - again)
-        plain = [w for w in fresh if _BETWEEN not in w]
-        self.memo.update(zip(plain, self._fresh(plain), strict=True))
-        if len(plain) < len(fresh):  # words that hold the mark itself go one by one
-            odd = [w for w in fresh if _BETWEEN in w]
-            self.memo.update((w, np.array(m.ids, dtype="<u4").tobytes()) for w, m in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False), strict=True))
-        return [b"".join(map(self.memo.__getitem__, w)) for w in words]
-
-
-def _slices(texts: list[str | None], limit: int = 4_000_000):
-    """Runs of texts with about limit characters, so that few words are held at a time."""
-    held, size = [], 0
-    for t in texts:
-        held.append(t or "")
-        size += len(held[-1])
-        if size >= limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
-def write_ids(docs: DataFrame, path: str, definition: str, end_id: int | None = 2, block_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+        #: Whether an id ends a word: told by its string.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.alphabet, dtype=bool)
+        if suffix:
+            for text, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                self.ends[k] = text.endswith(suffix)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.ids = np.zeros(0, dtype="<u4")
+        self.starts = self.sizes = np.zeros(0, dtype=np.int64)
+
+    def _letters(self, words: list[str], at_once: int = 200) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of words of letters only, in parts, and how many each word has. Many words make one text: each ends with the one id in it that ends a word."""
+        ids, sizes = [], []
+        groups = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        for group, made in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            got = np.array(made.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.ends[got])
+            if len(cuts) == len(group) and cuts[-1] == len(got) - 1:
+                ids.append(got)
+                sizes.append(np.diff(cuts, prepend=-1))
+            else:  # a letter that is several in this normal form
+                more = self._any(group)
+                ids += more[0]
+                sizes += more[1]
+        return ids, sizes
+
+    def _any(self, words: list[str], at_once: int = 200) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The same for any words, with a mark between them."""
+        ids, sizes = [], []
+        groups = [words[k : k + at_once] for k in range(0, len(words), at_once)]
+        marked = [any(_BETWEEN in w for w in g) for g in groups]
+        told = iter(self.many.encode_batch_fast([_BETWEEN.join(g) for g, m in zip(groups, marked, strict=True) if not m], add_special_tokens=False))
+        for group, m in zip(groups, marked, strict=True):
+            if m:  # a word that holds the mark itself: one by one
+                each = [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
+                ids += each
+                sizes.append(np.array([len(x) for x in each], dtype=np.int64))
+            else:
+                got = np.array(next(told).ids, dtype="<u4")
+                cuts = np.flatnonzero(got == self.between)
+                ids.append(got[got != self.between])
+                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1)
+        return ids, sizes
+
+    def _slots(self, dictionary: pa.Array) -> np.ndarray:
+        words = dictionary.to_pylist()
+        if len(self.slot) > MEMO_WORDS or len(self.ids) > MEMO_IDS:
+            self._forget()
+        slots = np.fromiter(map(self.slot.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            letters = pc.match_substring_regex(dictionary, _ONE_PIECE).to_numpy(zero_copy_only=False)[new]
+            ids, sizes = [self.ids], [self.sizes]
+            for chosen, encode in ((new[letters], self._letters), (new[~letters], self._any)):
+                first = sum(map(len, sizes))
+                slots[chosen] = np.arange(first, first + len(chosen))
+                names = [words[k] for k in chosen.tolist()]
+                made = encode(names)
+                ids += made[0]
+                sizes += made[1]
+                self.slot.update(zip(names, range(first, first + len(names)), strict=True))
+                for w in names if max(map(len, names), default=0) > MEMO_CHARS else ():
+                    if len(w) > MEMO_CHARS:
+                        del self.slot[w]
+            self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        return slots
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, where each text's ids end)."""
+        spaced = pc.replace_substring(texts, "\n", " ")
+        for pattern in (_LETTER_MARK, _MARK_LETTER):
+            spaced = pc.replace_substring_regex(spaced, pattern, r"\1 \2")
+        cut = pc.split_pattern(spaced, " ")
+        coded = cut.flatten().dictionary_encode()
+        which = self._slots(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        counts = self.sizes[which]
+        ends = np.cumsum(counts)
+        at = np.repeat(self.starts[which] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        words = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
+        return self.ids[at], np.concatenate([[0], ends])[words]
+
+
+def write_ids(docs: DataFrame, path: str, definition: str, end_id: int | None = 2, block_ids: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode docs by a tokenizers definition (JSON text) and write the blocks to path."""
     shipped = docs.sparkSession.sparkContext.broadcast(definition)
     ending = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
@@ -120,23 +171,23 @@ def write_ids(docs: DataFrame, path: str, definition: str, end_id: int | None =
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "block", "offset", "doc_ids", "counts", "coded"])
 
         for batch in batches:
-            names = iter(batch.column(0).to_pylist())
-            for texts in _slices(batch.column(1).to_pylist()):
-                for packed in encoder.encode(texts):
-                    packed += ending
-                    n = len(packed) // 4
-                    if held and size + n > block_ids:
-                        yield close()
-                        block, offset = block + 1, offset + size
-                        ids, counts, held, size = [], [], [], 0
-                    ids.append(next(names))
-                    counts.append(n)
-                    held.append(packed)
-                    size += n
+            every, ends = encoder.encode(batch.column(1))
+            begin = 0
+            for name, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                packed = every[begin:end].tobytes() + ending
+                begin, n = end, len(packed) // 4
+                if held and size + n > block_ids:
+                    yield close()
+                    block, offset = block + 1, offset + size
+                    ids, counts, held, size = [], [], [], 0
+                ids.append(name)
+                counts.append(n)
+                held.append(packed)
+                size += n
         if held:
             yield close()
 
-    dealt = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     map_rows(dealt, rows, _SCHEMA).write.parquet(path)
 
 

@@ -25,13 +25,14 @@ def test_noisy_alignments_are_all_found():
             other = query[len(query) // 5 :].copy()
             other ^= np.packbits(rng.random((len(other), 32)) < rate, axis=1).view(np.uint32).ravel()
             want = [(name, best[2], best[0]) for name, q in queries if (best := plain(q, other, 0.2, 24))]
-            for slots in (1 << 20, 150):
+            for cells in (1 << 18, 150):
                 block = Block(queries)
-                block.SLOTS = slots
-                assert block.aligned(other, 0.2, 24) == want
+                block.CELLS = cells
+                got = block.aligned([other, other[:0], other[::-1].copy(), other], 0.2, 24)
+                assert sorted(got[0]) == sorted(want) == sorted(got[3]) and got[1] == []
             found += len(want)
     assert found >= 16
 
 
 def test_empty_recording_aligns_with_nothing():
-    assert Block([("q", np.arange(9, dtype=np.uint32))]).aligned(np.zeros(0, dtype=np.uint32), 0.2, 24) == []
+    assert Block([("q", np.arange(9, dtype=np.uint32))]).aligned([np.zeros(0, dtype=np.uint32)], 0.2, 24) == [[]]

@@ -21,7 +21,7 @@ from emberlog.llm import audio, bpe, decontam, html_text, licenses, quality, sec
 from emberlog.llm.id_coder import decode_block, encode_block
 from emberlog.llm.registry import byte_codec
 
-TEXTS = [None, "", " \n\t ", "a", "word " * 3000, "Ünïcode ﬁ ß İ", "same text here now", "same text here now", "x" * 50_000, "don't  stop\r\n\n  NOW!! 12,5", "tab\tand nbsp  mark", "under the MIT license, all rights reserved", "<|endoftext|> plain"]
+TEXTS = [None, "", " \n\t ", "a", "word " * 3000, "Ünïcode ﬁ ß İ", "same text here now", "same text here now", "x" * 50_000, "don't  stop\r\n\n  NOW!! 12,5", "tab\tand nbsp  mark", "under the MIT license, all rights reserved", "<|endoftext|> plain", "a word<|startoftext|>.Then (so) \"it's\" e.g. U.S.A, it'll; 3.5 \ue000x =\u0338 e\u0301. <|endoftext|><|endoftext|>"]
 
 
 @pytest.fixture(scope="module")
@@ -51,7 +51,6 @@ def test_coder_finds_damage():
 
 def test_token_store(odd):
     library = Tokenizer.from_file(path := public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     want, start = [], 0
     for name, text in sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
         ids = library.encode(text or "", add_special_tokens=False).ids + [2]
