@@ -5,9 +5,10 @@ the longest match ending at every word is tracked. Where the match is long enoug
 the window are hit, and the items that own the window are known from the state. A filter on
 word pairs in numpy skips stretches that cannot hold a window; all that could is streamed.
 
-The automaton is shipped to executors only while the items have at most `words_per_automaton`
-words (a bound on its size); beyond it the items are cut into shards, each with an automaton of
-its own, and the documents pass one shard after another, which gives the same result.
+An automaton holds at most `words_per_automaton` words (about 100 MB at the default); beyond it the
+items are cut into shards, and an item that is longer by itself into parts that share a window less
+one word, which loses no window. Shards are built, shipped and used one after another, and what the
+documents have gathered is written in between, so neither driver nor workers hold two at a time.
 
 Edge cases: null texts have no words and no hits; an empty benchmark hits nothing; items without
 words are ignored; items shorter than the window count as one window; repeated items all count;
@@ -17,8 +18,10 @@ null item_ids are named by the empty string. Extra columns pass through untouche
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.llm.common import alnum_words, map_rows, utf8
+from emberlog.runtime import materialize
 
 WINDOW = 10
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -172,34 +176,42 @@ class SuffixAutomaton:
         hits.append([begin, end])
 
 
-def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, words_per_automaton: int = 2_000_000) -> list[SuffixAutomaton]:
-    """One automaton for each shard of items; a shard has at most words_per_automaton words, or one item."""
-    made, shard, size = [], [], 0
+WORDS_PER_AUTOMATON = 200_000
+
+
+def automata(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, words_per_automaton: int = WORDS_PER_AUTOMATON) -> Iterator[SuffixAutomaton]:
+    """One automaton after another, at least one; each holds at most words_per_automaton words (or two windows)."""
+    shard, size, limit = [], 0, max(words_per_automaton, 2 * window)
     source = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), utf8(F.col(f"`{text_col}`")))
+    made = 0
     for name, text in source.toLocalIterator():
         words = alnum_words(bytes(text))
-        if shard and size + len(words) > words_per_automaton:
-            made.append(SuffixAutomaton(shard, window))
-            shard, size = [], 0
-        shard.append((name, words))
-        size += len(words)
-    return [*made, SuffixAutomaton(shard, window)]
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs with n_words, spans (array of word ranges, merged) and items (array of ids) added."""
+        for begin in range(0, max(1, len(words) - window + 1), limit - window + 1):
+            part = words[begin : begin + limit]
+            if shard and size + len(part) > limit:
+                yield SuffixAutomaton(shard, window)
+                shard, size, made = [], 0, made + 1
+            shard.append((name, part))
+            size += len(part)
+    if shard or not made:
+        yield SuffixAutomaton(shard, window)
+
+
+def _gathered(docs: DataFrame, shards: Iterator[SuffixAutomaton], first: SuffixAutomaton, text_col: str) -> DataFrame:
+    """docs with __words, __spans and __items over the first automaton and all that follow."""
     sc = docs.sparkSession.sparkContext
-    shards = automata(benchmark, **options)
-    out = docs.withColumn("__utf8", utf8(F.col(f"`{text_col}`"))).withColumn("spans", F.array().cast("array<struct<begin:int,end:int>>")).withColumn("items", F.array().cast("array<string>"))
-    for k, shard in enumerate(shards):
+    out = docs.withColumn("__utf8", utf8(F.col(f"`{text_col}`"))).withColumn("__spans", F.array().cast("array<struct<begin:int,end:int>>")).withColumn("__items", F.array().cast("array<string>"))
+    schema, shard = _with_count(out.schema), first
+    while shard is not None:
         shipped = sc.broadcast(shard)
+        shard = next(shards, None)
 
         def rows(batches, shipped=shipped):
             automaton = shipped.value
             for batch in batches:
                 columns = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
                 spans, items, counts = [], [], []
-                for text, old_spans, old_items in zip(columns["__utf8"], columns["spans"].to_pylist(), columns["items"].to_pylist(), strict=True):
+                for text, old_spans, old_items in zip(columns["__utf8"], columns["__spans"].to_pylist(), columns["__items"].to_pylist(), strict=True):
                     words = alnum_words(text.as_py())
                     hits, names = automaton.scan(words)
                     if old_spans:
@@ -207,19 +219,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **opt
                     spans.append([{"begin": a, "end": b} for a, b in hits])
                     items.append(sorted({*old_items, *names}))
                     counts.append(len(words))
-                columns["spans"] = pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
-                columns["items"] = pa.array(items, pa.list_(pa.string()))
-                columns["n_words"] = pa.array(counts, pa.int64())
+                columns["__spans"] = pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
+                columns["__items"] = pa.array(items, pa.list_(pa.string()))
+                columns["__words"] = pa.array(counts, pa.int64())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-        out = map_rows(out, rows, out.schema if k else _with_count(out.schema))
+        out = map_rows(out, rows, schema)
+        if shard is not None:
+            out = materialize(out, "benchmark-shard")
+            shipped.destroy()
     return out.drop("__utf8")
 
 
+def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs with n_words, spans (array of word ranges, merged) and items (array of ids) set; other columns pass."""
+    shards = automata(benchmark, **options)
+    names = {"n_words": "__words", "spans": "__spans", "items": "__items"}
+    return _gathered(docs.drop(*names), shards, next(shards), text_col).withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def _with_count(schema):
     from pyspark.sql import types as T
 
-    return T.StructType([*schema.fields, T.StructField("n_words", T.LongType())])
+    return T.StructType([*schema.fields, T.StructField("__words", T.LongType())])
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -259,13 +281,59 @@ def cut_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, window: int = WINDOW, text_col: str = "text", words_per_automaton: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.5, window: int = WINDOW, text_col: str = "text", words_per_automaton: int = WORDS_PER_AUTOMATON) -> DataFrame:
     """docs with every hit span cut out of the text; documents hit beyond max_coverage go.
 
-    What closes up after a cut is scanned again until nothing is hit, so no window is left. Clean texts stay byte for byte.
+    What closes up after a cut is scanned again until nothing is hit, so no window is left. Clean texts stay byte for
+    byte, null ones null. With one automaton that is a narrow pass; with more, each round works on what the last one cut.
     """
-    sc = docs.sparkSession.sparkContext
-    shards = sc.broadcast(automata(benchmark, window=window, words_per_automaton=words_per_automaton))
+    options = {"window": window, "words_per_automaton": words_per_automaton}
+    shards = automata(benchmark, **options)
+    first = next(shards)
+    if (second := next(shards, None)) is None:
+        return _cut_by_one(docs, first, max_coverage, text_col)
+    done, pending = [], docs.withColumn("__gone", F.lit(0).cast("long")).withColumn("__total", F.lit(None).cast("long"))
+    rest: Iterator[SuffixAutomaton] = chain([second], shards)
+    while True:
+        made = materialize(_cut_found(_gathered(pending, rest, first, text_col), max_coverage, text_col), "benchmark-cut")
+        done.append(made.where("not __again").select(*docs.columns))
+        pending = made.where("__again").drop("__again")
+        if not pending.limit(1).count():
+            return reduce(DataFrame.unionAll, done)
+        shards = automata(benchmark, **options)
+        first, rest = next(shards), shards
+
+
+def _cut_found(found: DataFrame, max_coverage: float, text_col: str) -> DataFrame:
+    """Rows of _gathered with their spans cut out, __gone and __total carried on, and __again where something was cut."""
+    from pyspark.sql import types as T
+
+    kept = found.drop("__spans", "__items", "__words")
+    schema = T.StructType([*kept.schema.fields, T.StructField("__again", T.BooleanType())])
+    names = [*kept.columns, "__again"]
+    at, gone_at, total_at = (names.index(c) for c in (text_col, "__gone", "__total"))
+    n = len(names) - 1
+
+    def rows(batches):
+        for batch in batches:
+            texts, gone, total, again = batch.column(at).to_pylist(), batch.column(gone_at).to_pylist(), batch.column(total_at).to_pylist(), []
+            for i, (spans, words) in enumerate(zip(batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)):
+                ranges = [(s["begin"], s["end"]) for s in spans]
+                again.append(bool(ranges))
+                total[i] = words if total[i] is None else total[i]
+                gone[i] += sum(b - a for a, b in ranges)
+                if ranges:
+                    texts[i] = cut_spans(texts[i].encode(), ranges).decode()
+            columns = batch.columns[:n]
+            columns[at], columns[gone_at], columns[total_at] = pa.array(texts, batch.schema.field(at).type), pa.array(gone, pa.int64()), pa.array(total, pa.int64())
+            keep = [g <= max_coverage * t for g, t in zip(gone, total, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(again, pa.bool_())], names).filter(pa.array(keep, pa.bool_()))
+
+    return map_rows(found.select(*kept.columns, "__spans", "__words"), rows, schema)
+
+
+def _cut_by_one(docs: DataFrame, automaton: SuffixAutomaton, max_coverage: float, text_col: str) -> DataFrame:
+    shipped = docs.sparkSession.sparkContext.broadcast(automaton)
     fields = docs.schema
     at = fields.names.index(text_col)
 
@@ -280,7 +348,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0
                 raw = text.encode()
                 total = len(words := alnum_words(raw))
                 gone = 0
-                while spans := merged([s for a in shards.value for s in a.scan(words)[0]]):
+                while spans := shipped.value.scan(words)[0]:
                     gone += sum(b - a for a, b in spans)
                     raw = cut_spans(raw, spans)
                     words = alnum_words(raw)
