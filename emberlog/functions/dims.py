@@ -165,6 +165,19 @@ MESSAGES = {
     "silent_path": "Generated action does not reference the KG-RAG attack stage or ATT&CK path.",
     "summary": "Post-processing {status}: {total} action(s), {blocked} blocked, {errors} error(s), {warnings} warning(s).",
 }
+VALIDATION_MESSAGES = {
+    "relations": "missing KG relations: [{names}]",
+    "no_incident": "KG context is missing incident node",
+    "no_prompt": "KG context is missing prompt_context",
+}
+INPUT_MESSAGES = {
+    "not_records": "Evaluation input must be a JSON object, array of objects, or JSONL objects.",
+    "no_generation": "Each evaluation record must contain one of {names}.",
+    "ratio": "test_ratio must be greater than 0 and less than 1.",
+    "too_few": "At least two examples are required to create non-empty train and test sets.",
+    "unequal": "Baseline and candidate files must contain the same number of records.",
+    "unpaired": "Record {index} is not paired: baseline ID {baseline!r} != candidate ID {candidate!r}.",
+}
 EVALUATION_KEYS = ("generation", "generated_response", "response", "actions")
 CONTEXT_KEYS = ("kg_context", "security_context")
 ID_KEYS = ("id", "record_id", "incident_id", "prompt_id")

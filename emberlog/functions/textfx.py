@@ -127,3 +127,24 @@ def filled(template: str, **values: Column) -> Column:
     """A template with {names} filled by columns."""
     parts = re.split(r"\{(\w+)\}", template)
     return F.concat(*[values[p].cast("string") if k % 2 else F.lit(p) for k, p in enumerate(parts)])
+
+
+_CONTROLS = {chr(k): f"\\u{k:04x}" for k in range(32)} | {"\b": "\\b", "\t": "\\t", "\n": "\\n", "\f": "\\f", "\r": "\\r"}
+
+
+def json_string(c: Column) -> Column:
+    """A text as a JSON string, non-ASCII characters as they are; null as null."""
+    hard = reduce(lambda x, pair: F.replace(x, F.lit(pair[0]), F.lit(pair[1])), [("\\", "\\\\"), ('"', '\\"'), *_CONTROLS.items()], c)
+    return F.coalesce(F.concat(F.lit('"'), F.when(c.rlike(r'[\x00-\x1f"\\]'), hard).otherwise(c), F.lit('"')), F.lit("null"))
+
+
+def json_block(parts: Column, depth: int, ends: str = "[]") -> Column:
+    """JSON values as an array (or members as an object) with one on each line, indented by two blanks a level."""
+    inner, outer = "\n" + "  " * (depth + 1), "\n" + "  " * depth
+    return F.when(F.size(parts) == 0, F.lit(ends)).otherwise(F.concat(F.lit(ends[0] + inner), F.array_join(parts, "," + inner), F.lit(outer + ends[1])))
+
+
+_TEXT = r'"(?:[^"\\\x00-\x1f]++|\\(?:["\\/bfnrt]|u(?![dD][89a-fA-F])[0-9a-fA-F]{4}))*+"'
+_MEMBER = rf"{_TEXT}[ \t\n\r]*+:[ \t\n\r]*+(?:{_TEXT}|null)"
+#: A JSON object of one or more members whose values are texts or null.
+FLAT_OBJECT = rf"\A[ \t\n\r]*+\{{[ \t\n\r]*+{_MEMBER}(?:[ \t\n\r]*+,[ \t\n\r]*+{_MEMBER})*+[ \t\n\r]*+\}}[ \t\n\r]*+\z"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import dims
 from emberlog.functions.records import ITEM, parsed_items
-from emberlog.functions.textfx import WS, best_group, extract_all, first_sentence_with, held, java, non_empty, rstrip, split_clean, strip
+from emberlog.functions.textfx import FLAT_OBJECT, WS, best_group, extract_all, first_sentence_with, held, java, let, non_empty, rstrip, split_clean, strip
 from emberlog.runtime import ensure_importable, exploded
 
 TARGETS = tuple(map(java, dims.TARGET_PATTERNS))
@@ -40,20 +40,39 @@ def _plain_item(text: Column) -> Column:
     return F.struct(*[fields.get(n, F.lit("")).alias(n) for n in names])
 
 
+def _flat_items(text: Column) -> Column:
+    """The item of a JSON object of texts, as an array of one; null where two names differ in case only."""
+    members = F.from_json(text, "map<string,string>")
+    by_name = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+
+    def item(entries: Column) -> Column:
+        keys = F.transform(entries, lambda e: e["key"])
+
+        def field(names: tuple[str, ...]) -> Column:
+            first = F.coalesce(*[F.when(F.array_position(keys, n) > 0, F.array_position(keys, n)) for n in names], F.lit(0).cast("long"))
+            return F.coalesce(strip(F.get(entries, (first - 1).cast("int"))["value"]), F.lit(""))
+
+        made = F.struct(*[field(names).alias(n) for n, names in dims.ITEM_FIELDS.items()], strip(text).alias("whole"))
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.array(made.cast(ITEM)))
+
+    return let(by_name(members), item)
+
+
 def with_items(df: DataFrame, generation: str = "generation", kind: str | None = None, into: str = "items") -> DataFrame:
     """df with the array of action items of each generation.
 
     kind names a column that tells how the generation came (string, object, array, other); without
-    it all are text. Texts without braces, brackets and other JSON are settled here; the rest go to
-    the JSON function.
+    it all are text. Texts without braces and brackets, and JSON objects of texts, are settled here; the
+    rest (nested values, JSON inside prose, broken JSON) go to the JSON function.
     """
     ensure_importable(df.sparkSession)
     text = F.coalesce(F.col(f"`{generation}`"), F.lit(""))
     how = F.col(f"`{kind}`") if kind else F.lit("string")
     plain = (how == "string") & ~text.rlike(r"[{\[]")
-    asked = df.withColumn("__kind", how).withColumn("__asked", F.when(~plain, text))
-    made = asked.withColumn("__parsed", parsed_items(F.col("__asked"), F.col("__kind")))
-    return made.withColumn(into, F.when(plain, F.array(_plain_item(text).cast(ITEM))).otherwise(F.col("__parsed"))).drop("__asked", "__kind", "__parsed")
+    flat = F.when((how == "string") & text.rlike(FLAT_OBJECT), _flat_items(text))
+    here = df.withColumn("__kind", how).withColumn("__here", F.when(plain, F.array(_plain_item(text).cast(ITEM))).otherwise(flat))
+    made = here.withColumn("__parsed", parsed_items(F.when(F.col("__here").isNull(), text), F.col("__kind")))
+    return made.withColumn(into, F.coalesce("__here", "__parsed")).drop("__kind", "__here", "__parsed")
 
 
 def with_action(df: DataFrame, item: str = "item", into: str = "action") -> DataFrame:

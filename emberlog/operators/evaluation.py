@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,8 +74,8 @@ def validate_paired(baseline: DataFrame, candidate: DataFrame, index: str = "rec
         return
     row = found[0]
     if row["violation"] == "unpaired":
-        raise ValueError("Baseline and candidate files must contain the same number of records.")
-    raise ValueError(f"Record {row[index]} is not paired: baseline ID {row['baseline_id']!r} != candidate ID {row['candidate_id']!r}.")
+        raise ValueError(dims.INPUT_MESSAGES["unequal"])
+    raise ValueError(dims.INPUT_MESSAGES["unpaired"].format(index=row[index], baseline=row["baseline_id"], candidate=row["candidate_id"]))
 
 
 def compare_reports(reports: DataFrame, baseline: str, candidate: str, model: str = "model") -> DataFrame:
@@ -90,9 +92,13 @@ def compare_reports(reports: DataFrame, baseline: str, candidate: str, model: st
     )
 
 
-def compare_models(baseline: DataFrame, candidate: DataFrame, as_of_year: int, names: tuple[str, str] = ("baseline", "candidate"), **options) -> DataFrame:
-    """Check the pairing, evaluate both sides in one pass and compare."""
+def compare_models(baseline: DataFrame, candidate: DataFrame, as_of_year: int, names: tuple[str, str] = ("baseline", "candidate"), evaluate: Callable[..., DataFrame] = evaluate_actions, **options) -> DataFrame:
+    """Check the pairing, evaluate both sides in one pass and compare.
+
+    evaluate may be another evaluator: of (records, as_of_year, options) it makes one row for each action with `model`
+    and the marks of evaluate_actions.
+    """
     validate_paired(baseline, candidate)
     columns = [c for c in baseline.columns if c in candidate.columns]
     both = baseline.select(*columns, F.lit(names[0]).alias("model")).unionByName(candidate.select(*columns, F.lit(names[1]).alias("model")))
-    return compare_reports(report(both, evaluate_actions(both, as_of_year, **options), ("model",)), *names)
+    return compare_reports(report(both, evaluate(both, as_of_year, **options), ("model",)), *names)

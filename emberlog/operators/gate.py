@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import dims
 from emberlog.functions.records import shell_heads
-from emberlog.functions.textfx import extract_all, filled, java, let
+from emberlog.functions.textfx import extract_all, filled, held, java, let
 from emberlog.operators.actions import ACTION, parse_actions
 from emberlog.operators.incident import CVE
 from emberlog.runtime import ensure_importable
@@ -117,26 +117,31 @@ def policy_findings(action: Column) -> Column:
     return F.array_compact(F.array(*blocked, *rest))
 
 
-def path_findings(text: Column, context: Column) -> Column:
-    named, stages = _upper_set(extract_all(text, TECHNIQUE)), context_stages(context)
-    foreign = F.transform(F.array_except(named, context_techniques(context)), lambda t: _finding("attack_path", "warning", _SAID["foreign_technique"], t))
+def known(context: Column) -> Column:
+    """What findings need of a context: small, so that it can go along with every action. Null for no context."""
+    return F.when(present(context), held(F.struct(context_cves(context).alias("cves"), context_techniques(context).alias("techniques"), context_stages(context).alias("stages"))))
+
+
+def path_findings(text: Column, known: Column) -> Column:
+    named, stages = _upper_set(extract_all(text, TECHNIQUE)), known["stages"]
+    foreign = F.transform(F.array_except(named, known["techniques"]), lambda t: _finding("attack_path", "warning", _SAID["foreign_technique"], t))
     told = let(F.lower(text), lambda low: F.exists(stages, lambda s: (s != "") & F.contains(low, F.replace(s, F.lit("_"), F.lit(" ")))))
     silent = _finding("attack_path", "warning", _SAID["silent_path"])
     missing = F.when((F.size(stages) > 0) & (F.size(named) == 0) & ~told, F.array(silent)).otherwise(_none())
-    return F.when(present(context), F.concat(foreign, missing)).otherwise(_none())
+    return F.when(known.isNotNull(), F.concat(foreign, missing)).otherwise(_none())
 
 
-def with_findings(actions: DataFrame, context: str | None, as_of_year: int, allowed_cves: Iterable[str] = (), require_context_cve_match: bool = True) -> DataFrame:
-    """actions (with `action`) and their `findings`, in the order CVEs, commands, policy, attack path."""
+def with_findings(actions: DataFrame, known: str | None, as_of_year: int, allowed_cves: Iterable[str] = (), require_context_cve_match: bool = True) -> DataFrame:
+    """actions (with `action` and, if named, a column of `known`) and their `findings`, in the order CVEs, commands, policy, attack path."""
     act = F.col("action")
     staged = actions.withColumn("__text", F.concat_ws("\n", act["source_action"], act["source_explanation"], F.array_join(act["command"], " ")))
     staged = with_heads(staged, act["command"], "__head")
     text = F.col("__text")
     allowed = F.array(*[F.lit(c.upper()) for c in allowed_cves]).cast("array<string>")
     parts = [command_findings(act["command"], F.col("__head")), policy_findings(act)]
-    if context:
-        at = F.col(f"`{context}`")
-        trusted = F.when(present(at), F.array_union(allowed, context_cves(at))).otherwise(allowed)
+    if known:
+        at = F.col(f"`{known}`")
+        trusted = F.when(at.isNotNull(), F.array_union(allowed, at["cves"])).otherwise(allowed)
         parts = [cve_findings(text, trusted, as_of_year, require_context_cve_match), *parts, path_findings(text, at)]
     else:
         parts = [cve_findings(text, allowed, as_of_year, require_context_cve_match), *parts]
@@ -149,8 +154,9 @@ def is_error(finding: Column) -> Column:
 
 def validate(df: DataFrame, as_of_year: int, generation: str = "generation", kind: str | None = None, context: str | None = None, **options) -> DataFrame:
     """One row for each action: df's columns, action_index, action, findings, accepted."""
-    found = with_findings(parse_actions(df, generation, kind), context, as_of_year, **options)
-    return found.withColumn("accepted", ~F.exists("findings", is_error))
+    told = df.withColumn("__known", known(F.col(f"`{context}`"))) if context else df
+    found = with_findings(parse_actions(told, generation, kind), "__known" if context else None, as_of_year, **options)
+    return found.withColumn("accepted", ~F.exists("findings", is_error)).drop("__known")
 
 
 def process(df: DataFrame, key: str, as_of_year: int, generation: str = "generation", kind: str | None = None, context: str | None = None, **options) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog.functions import dims
-from emberlog.functions.textfx import strip
+from emberlog.functions.textfx import filled, json_block, json_string, strip
 from emberlog.operators.gate import process
 from emberlog.operators.graph import INCIDENT_FIELDS, context_struct, contexts
 from emberlog.operators.incident import incidents
@@ -33,26 +33,39 @@ def validation() -> Column:
     """Of a row of `contexts`: ok, errors, and counts of what was extracted and built."""
     expected = F.array_compact(F.array(*[F.when(F.size(field) > 0, F.lit(relation)) for field, relation in dims.RELATIONS]))
     missing = F.array_sort(F.array_except(expected, F.transform("edges", lambda e: e["relation"])))
-    listed = F.concat(F.lit("missing KG relations: ['"), F.array_join(missing, "', '"), F.lit("']"))
+    said = dims.VALIDATION_MESSAGES
+    listed = filled(said["relations"], names=F.array_join(F.transform(missing, lambda m: F.concat(F.lit("'"), m, F.lit("'"))), ", "))
     errors = F.array_compact(F.array(
         F.when(F.size(missing) > 0, listed),
-        F.when(~F.exists("nodes", lambda n: n["type"] == "incident"), F.lit("KG context is missing incident node")),
-        F.when(F.coalesce("prompt_context", F.lit("")) == "", F.lit("KG context is missing prompt_context")),
+        F.when(~F.exists("nodes", lambda n: n["type"] == "incident"), F.lit(said["no_incident"])),
+        F.when(F.coalesce("prompt_context", F.lit("")) == "", F.lit(said["no_prompt"])),
     ))
     counts = F.struct(*[F.size(c).cast("long").alias(c) for c in COUNTED])
     built = F.struct(F.size("nodes").cast("long").alias("nodes"), F.size("edges").cast("long").alias("edges"))
     return F.struct((F.size(errors) == 0).alias("ok"), errors.alias("errors"), counts.alias("incident_counts"), built.alias("kg_counts"))
 
 
+def incident_document() -> Column:
+    """The incident's fields as a JSON document, one member a line, indented by two blanks a level."""
+    listed = ("cves", "assets", "services", "attack_stages", "raw_events")
+
+    def value(name: str) -> Column:
+        if name == "iocs":
+            pair = lambda x: json_block(F.array(*[F.concat(F.lit(f'"{k}": '), json_string(x[k])) for k in ("type", "value")]), 2, "{}")
+            return json_block(F.transform("iocs", pair), 1)
+        return json_block(F.transform(name, json_string), 1) if name in listed else json_string(F.col(name))
+
+    return json_block(F.array(*[F.concat(F.lit(f'"{name}": '), value(name)) for name in INCIDENT_FIELDS]), 0, "{}")
+
+
 def enrich(examples: DataFrame, depth: int = 2, observed_at: str = "", id_prefix: str = "example-") -> DataFrame:
     """examples(source_index, instruction, answer) with the enriched instruction and its metadata. Narrow."""
     entry = strip(F.coalesce("instruction", F.lit("")))
     events = F.when(entry != "", F.array(entry)).otherwise(F.array().cast("array<string>"))
     named = examples.select("source_index", "instruction", "answer", F.format_string(f"{id_prefix}%06d", F.col("source_index")).alias("incident_id"), events.alias("raw_events"))
     built = contexts(incidents(named, observed_at), depth).withColumn("validation", validation())
-    body = F.to_json(F.struct(*INCIDENT_FIELDS), {"pretty": "true", "ignoreNullFields": "false"})
     text = F.concat(
-        entry, F.lit(f"\n\n{dims.ENRICHMENT_PREAMBLE}\n<incident_json>\n"), body, F.lit("\n</incident_json>\n<kg_rag_context>\n"), F.col("prompt_context"), F.lit("\n</kg_rag_context>")
+        entry, F.lit(f"\n\n{dims.ENRICHMENT_PREAMBLE}\n<incident_json>\n"), incident_document(), F.lit("\n</incident_json>\n<kg_rag_context>\n"), F.col("prompt_context"), F.lit("\n</kg_rag_context>")
     )
     metadata = F.struct("source_index", F.struct(*INCIDENT_FIELDS).alias("incident"), context_struct().alias("kg_rag"), "validation")
     return built.select("source_index", F.col("instruction").alias("original_instruction"), text.alias("instruction"), "answer", metadata.alias("metadata"))
@@ -69,9 +82,9 @@ def require_valid(enriched: DataFrame) -> DataFrame:
 def test_count(n: int, ratio: float) -> int:
     """Rows of the test side: rounded half to even, at least one, at most all but one."""
     if not 0.0 < ratio < 1.0:
-        raise ValueError("test_ratio must be greater than 0 and less than 1.")
+        raise ValueError(dims.INPUT_MESSAGES["ratio"])
     if n < 2:
-        raise ValueError("At least two examples are required to create non-empty train and test sets.")
+        raise ValueError(dims.INPUT_MESSAGES["too_few"])
     return max(1, min(n - 1, round(n * ratio)))
 
 
@@ -102,7 +115,7 @@ def with_split(examples: DataFrame, ratio: float = dims.TEST_RATIO, seed: int =
     hash, in parallel: an exact count, but other members.
     """
     if not 0.0 < ratio < 1.0:
-        raise ValueError("test_ratio must be greater than 0 and less than 1.")
+        raise ValueError(dims.INPUT_MESSAGES["ratio"])
     n = examples.count()
     wanted = test_count(n, ratio)
     if exact:
@@ -131,14 +144,18 @@ def with_split(examples: DataFrame, ratio: float = dims.TEST_RATIO, seed: int =
     return hashed.withColumn("split", F.when(inside, "test").otherwise("train")).drop("__h")
 
 
-def predictions(examples: DataFrame, generate: Callable[[str], str], model: str, as_of_year: int, post_process: bool = True) -> DataFrame:
-    """Prediction records: generate is called for each instruction inside the workers, then the gate runs.
+def predictions(examples: DataFrame, generate: Callable[[str], str], model: str, as_of_year: int, post_process: bool = True, processor: Callable[..., DataFrame] = process) -> DataFrame:
+    """Prediction records: generate is called once for each instruction inside the workers, then the gate runs.
 
     examples: source_index, instruction, answer and, optionally, metadata with kg_rag. A processed
-    record carries the gate's report.
+    record carries the gate's report. What was generated is written before it is judged, so a record's
+    text and its verdict come from one call even where the model samples; repeated ids keep their rows.
+    processor may be another gate: of (rows, key, as_of_year, context) it makes one row for each key with the
+    columns of `process`.
     """
     ensure_importable(examples.sparkSession)
-    context = F.col("metadata.kg_rag") if "metadata" in examples.columns else F.lit(None).cast("string")
+    has_context = "metadata" in examples.columns
+    context = F.col("metadata.kg_rag") if has_context else F.lit(None).cast("string")
     source = examples.select(F.col("source_index").cast("string").alias("id"), F.lit(model).alias("model_name_or_path"), "instruction", F.col("answer").alias("expected_answer"), context.alias("kg_context"))
     at = source.columns.index("instruction")
     schema = T.StructType([*source.schema.fields, T.StructField("generation", T.StringType())])
@@ -151,6 +168,19 @@ def predictions(examples: DataFrame, generate: Callable[[str], str], model: str,
     made = source.mapInArrow(rows, schema).withColumn("post_processing_enabled", F.lit(post_process))
     if not post_process:
         return made.withColumn("post_processing", F.lit(None).cast("string"))
-    has_context = "metadata" in examples.columns
-    gate = process(made, "id", as_of_year, context="kg_context" if has_context else None)
-    return made.join(gate.select("id", F.struct("accepted", "actions", "blocked_actions", "findings", "summary").alias("post_processing")), "id")
+    made = materialize(made.withColumn("__row", F.monotonically_increasing_id()), "generations")
+    verdicts = processor(made, "__row", as_of_year, context="kg_context" if has_context else None)
+    report = F.struct("accepted", "actions", "blocked_actions", "findings", "summary").alias("post_processing")
+    return made.join(verdicts.select("__row", report), "__row").drop("__row")
+
+
+def preprocess(examples: DataFrame, path: str, ratio: float = dims.TEST_RATIO, seed: int = dims.SPLIT_SEED, limit: int | None = None, depth: int = 2, observed_at: str = "") -> dict[str, int]:
+    """The whole preprocessing: first `limit` examples, enrichment, validation, split, both variants written under path.
+
+    Returns the rows of each variant and side. A row that fails validation is a ValueError before anything is written.
+    """
+    from emberlog.sources.writers import aligned_splits
+
+    chosen = limited(examples, limit)
+    enriched = require_valid(materialize(enrich(chosen, depth, observed_at), "enriched"))
+    return aligned_splits(with_split(chosen, ratio, seed), enriched, path)

@@ -135,12 +135,12 @@ def kg_shared_neighbors(spark, sf_dir):
     return near.select(F.lit("node").alias("what"), F.col("id").alias("source"), F.lit("").alias("relation"), F.lit("").alias("target")).unionByName(picked.select(F.lit("edge").alias("what"), "source", "relation", "target"))
 
 
-@query("SELECT concat('asset:', o_custkey) AS id, arg_max(o_orderstatus, o_orderkey) AS type, arg_max(CASE WHEN o_orderkey % 3 = 0 THEN concat('asset:', o_custkey) ELSE concat('name-', o_orderkey) END, o_orderkey) AS name FROM orders GROUP BY o_custkey")
+@query("SELECT concat('asset:', o_custkey) AS id, arg_max(o_orderstatus, o_orderkey) AS type, arg_max(CASE WHEN o_orderkey % 3 = 0 THEN concat('asset:', o_custkey) ELSE concat('name-', o_orderkey) END, o_orderkey) AS name, arg_max(o_orderpriority, o_orderkey) AS priority FROM orders GROUP BY o_custkey")
 def kg_upsert(spark, sf_dir):
     """Nodes written many times: the last write of an id stays, a missing name is the id (KG1)."""
     orders = table(spark, sf_dir, "orders")
     written = orders.select(F.concat(F.lit("asset:"), "o_custkey").alias("id"), F.col("o_orderkey").alias("turn"), F.col("o_orderstatus").alias("type"), F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("name-"), "o_orderkey")).alias("name"), F.create_map(F.lit("priority"), "o_orderpriority").alias("properties"))
-    return graph.upsert_nodes(written, "turn").select("id", "type", "name")
+    return graph.upsert_nodes(written, "turn").select("id", "type", "name", F.col("properties")["priority"].alias("priority"))
 
 
 @query("SELECT DISTINCT concat('c', o_custkey) AS source, o_orderstatus AS relation, concat('c', o_orderkey) AS target FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12) AND o_orderkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
@@ -279,15 +279,20 @@ def enrichment_validation(spark, sf_dir):
     return found.select("source_index", v["ok"].alias("ok"), F.size(v["errors"]).alias("n_errors"), *[v["incident_counts"][c].alias(c) for c in training.COUNTED], v["kg_counts"]["nodes"].alias("nodes"), v["kg_counts"]["edges"].alias("edges"))
 
 
-_ENRICHED_SQL = f" SELECT source_index, answer, trim(instruction) || chr(10) || chr(10) || {oracle.q(dims.ENRICHMENT_PREAMBLE)} || chr(10) || '<incident_json>' || chr(10) AS head, chr(10) || '<kg_rag_context>' || chr(10) || prompt_context || chr(10) || '</kg_rag_context>' AS tail FROM ctx JOIN ({views.plain(views.EXAMPLES)}) x ON incident_id = printf('example-%06d', source_index)"
+_TEXTS = lambda c: f"CASE WHEN len({c}) = 0 THEN '[]' ELSE concat('[', chr(10), '    ', array_to_string(list_transform({c}, lambda v: cast(to_json(v) AS varchar)), concat(',', chr(10), '    ')), chr(10), '  ]') END"
+_IOCS = "CASE WHEN len(iocs) = 0 THEN '[]' ELSE concat('[', chr(10), '    ', array_to_string(list_transform(iocs, lambda v: concat('{', chr(10), '      \"type\": ', cast(to_json(v.type) AS varchar), ',', chr(10), '      \"value\": ', cast(to_json(v.value) AS varchar), chr(10), '    }')), concat(',', chr(10), '    ')), chr(10), '  ]') END"
+_MEMBERS = (
+    ("incident_id", "cast(to_json(incident_id) AS varchar)"), ("observed_at", "'\"\"'"), ("summary", "cast(to_json(summary) AS varchar)"), ("iocs", _IOCS), ("cves", _TEXTS("cves")), ("assets", _TEXTS("assets")), ("services", _TEXTS("services")),
+    ("attack_stages", _TEXTS("stages")), ("severity", "cast(to_json(severity) AS varchar)"), ("source", "'\"log_parser\"'"), ("raw_events", _TEXTS("CASE WHEN text = '' THEN [] ELSE [text] END")),
+)
+_DOCUMENT = "concat('{', chr(10), " + ", ',', chr(10), ".join(f"'  \"{name}\": ', {value}" for name, value in _MEMBERS) + ", chr(10), '}')"
+_ENRICHED_SQL = f" SELECT source_index, answer, trim(instruction) || chr(10) || chr(10) || {oracle.q(dims.ENRICHMENT_PREAMBLE)} || chr(10) || '<incident_json>' || chr(10) || {_DOCUMENT} || chr(10) || '</incident_json>' || chr(10) || '<kg_rag_context>' || chr(10) || prompt_context || chr(10) || '</kg_rag_context>' AS instruction FROM ctx JOIN ({views.plain(views.EXAMPLES)}) x ON incident_id = printf('example-%06d', source_index)"
 
 
 @query(oracle.EXAMPLE_CONTEXTS + _ENRICHED_SQL)
 def enriched_instructions(spark, sf_dir):
-    """What stands before and after the incident's JSON in the enriched instruction (ENR3)."""
-    found = training.enrich(examples(spark, sf_dir))
-    cut = "<incident_json>\n"
-    return found.select("source_index", "answer", F.concat(F.substring_index("instruction", cut, 1), F.lit(cut)).alias("head"), F.regexp_extract("instruction", r"(?s)</incident_json>(\n<kg_rag_context>.*)\z", 1).alias("tail"))
+    """The whole enriched instruction, with the incident as a JSON document in it (ENR3)."""
+    return training.enrich(examples(spark, sf_dir)).select("source_index", "answer", "instruction")
 
 
 @query()
@@ -340,10 +345,11 @@ def io_corpus_document(spark, sf_dir):
     return readers.training_json(spark, path)
 
 
-@query(oracle.LOGS + " SELECT incident_id, summary, severity, 'log_parser' AS source, len(iocs) AS n_iocs, array_to_string(cves, ' ') AS cves FROM inc")
+@query(oracle.LOGS + " SELECT incident_id, '' AS observed_at, summary, severity, 'log_parser' AS source, array_to_string(list_transform(iocs, lambda x: x.type || '=' || x.value), ' ') AS iocs, array_to_string(cves, ' ') AS cves, array_to_string(assets, ' ') AS assets, array_to_string(services, ' ') AS services, array_to_string(stages, ' ') AS attack_stages FROM inc")
 def io_incident_json(spark, sf_dir):
-    """Incidents as JSON and back (SRC3, SNK1)."""
+    """Incidents as JSON lines and back through their reader, which fills what is missing (SRC3, SNK1)."""
     path = scratch_path(spark, "incidents")
     writers.json_lines(log_incidents(spark, sf_dir).withColumn("observed_at", F.lit(None).cast("string")), path)
-    found = spark.read.schema(readers.INCIDENT).json(path)
-    return found.select("incident_id", "summary", "severity", "source", F.size("iocs").cast("long").alias("n_iocs"), F.array_join("cves", " ").alias("cves"))
+    found = readers.incident_json(spark, path, lines=True)
+    iocs = F.array_join(F.transform("iocs", lambda x: F.concat(x["type"], F.lit("="), x["value"])), " ").alias("iocs")
+    return found.select("incident_id", "observed_at", "summary", "severity", "source", iocs, *[F.array_join(c, " ").alias(c) for c in ("cves", "assets", "services", "attack_stages")])

@@ -37,9 +37,9 @@ def inline_text(spark: SparkSession, text: str, incident_id: str) -> DataFrame:
     return spark.createDataFrame([(incident_id, 0, text)], "incident_id string, line_no int, line string")
 
 
-def incident_json(spark: SparkSession, path: str) -> DataFrame:
-    """Incidents from JSON documents: incident_id is required, everything else has a default."""
-    found = spark.read.schema(INCIDENT).json(path, multiLine=True)
+def incident_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Incidents from JSON documents (or JSON lines): incident_id is required, everything else has a default."""
+    found = spark.read.schema(INCIDENT).json(path, multiLine=not lines)
     defaults = {"observed_at": "", "summary": "", "severity": "unknown", "source": "log_parser"}
 
     def filled(f: T.StructField) -> F.Column:
