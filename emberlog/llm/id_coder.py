@@ -27,6 +27,8 @@ _EIGHTH = 1 << _BASE
 _STATE, _LOW = 60, 28  # bits of a coder's range at most; below 2**_LOW it sends a word of 32 bits
 _HASH = 16
 _HEAD = struct.Struct("<4sHHIIII")
+#: Dividing by 1 to 8 as a product, exact for numbers of 20 bits.
+_INVERSE = np.array([0] + [-(-(1 << 32) // k) for k in range(1, 9)], dtype=np.int64)
 
 
 class _Model:
@@ -35,10 +37,9 @@ class _Model:
             raise ValueError("an alphabet of 60,000 ids at most")
         self.alphabet = alphabet
         self.counts = np.zeros(alphabet, dtype=np.int64)
-        self.one = np.full(alphabet + 1, alphabet, dtype=np.int32)
-        self.one_held = np.zeros(alphabet + 1, dtype=np.int8)
-        self.two = np.full(1 << _HASH, alphabet, dtype=np.int32)
-        self.two_held = np.zeros(1 << _HASH, dtype=np.int8)
+        #: For each id, and for each pair's slot: the last follower times 4, plus how often in a row it held (3 at most).
+        self.one = np.full(alphabet + 1, 4 * alphabet, dtype=np.int32)
+        self.two = np.full(1 << _HASH, 4 * alphabet, dtype=np.int32)
         #: For each pair of confidences: ids seen, ids that order 2, and else order 1, had foretold.
         self.seen = np.zeros((16, 3), dtype=np.int64)
         self._settle()
@@ -53,16 +54,16 @@ class _Model:
         left = _EIGHTH - int(freq.sum())
         freq += left // self.alphabet
         freq[: left % self.alphabet] += 1
-        self.cum = np.zeros(self.alphabet + 2, dtype=np.int64)
+        self.cum = np.zeros(self.alphabet + 2, dtype=np.int32)
         np.cumsum(freq, out=self.cum[1:-1])
         self.cum[-1] = self.cum[-2]
         self.find = None
         n, two, one = self.seen[:, 0] + 8, self.seen[:, 1], self.seen[:, 2]
         eighths = np.clip(8 * (two + one) // n, 0, 7)
         both = two + one + 1
-        self.two_share = eighths * _EIGHTH * two // both
-        self.one_share = eighths * _EIGHTH - self.two_share
-        self.zero_share = 8 - eighths
+        self.two_share = (eighths * _EIGHTH * two // both).astype(np.int32)
+        self.one_share = (eighths * _EIGHTH - self.two_share).astype(np.int32)
+        self.zero_share = (8 - eighths).astype(np.int32)
 
     def slots(self) -> np.ndarray:
         if self.find is None:
@@ -71,30 +72,30 @@ class _Model:
 
     @staticmethod
     def pair(before: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return (before * 40_503 + last * 30_011 + (last >> 7)) & ((1 << _HASH) - 1)
+        """The slot of a pair; 32-bit numbers may wrap, only their low bits count."""
+        return (before * np.int32(40_503) + last * np.int32(30_011) + (last >> 7)) & np.int32((1 << _HASH) - 1)
 
     def mix(self, before: np.ndarray, last: np.ndarray):
         """(what order 2 and order 1 foretell, their shares, how often order 0 counts). Equal forecasts: order 2 has both shares."""
-        at = self.pair(before, last)
-        two, one = self.two[at], self.one[last]
-        kind = self.two_held[at].astype(np.int64) * 4 + self.one_held[last]
-        two_share, one_share, times = self.two_share[kind], self.one_share[kind], self.zero_share[kind]
-        same = two == one
-        return two, one, np.where(same, two_share + one_share, two_share), np.where(same, 0, one_share), times
+        two, one = self.two[self.pair(before, last)], self.one[last]
+        kind = (two & 3) << 2 | one & 3
+        two, one = two >> 2, one >> 2
+        both, times = self.two_share[kind] + self.one_share[kind], self.zero_share[kind]
+        one_share = np.where(two == one, np.int32(0), self.one_share[kind])
+        return two, one, both - one_share, one_share, times
 
     def learn(self, before: np.ndarray, last: np.ndarray, ids: np.ndarray) -> None:
         """All arguments in one fixed order: step by step, lane by lane."""
         at = self.pair(before, last)
         two, one = self.two[at], self.one[last]
-        kind = self.two_held[at].astype(np.int64) * 4 + self.one_held[last]
+        kind = (two & 3) << 2 | one & 3
+        by_two, by_one = two >> 2 == ids, one >> 2 == ids
         self.seen[:, 0] += np.bincount(kind, minlength=16)
-        self.seen[:, 1] += np.bincount(kind[two == ids], minlength=16)
-        self.seen[:, 2] += np.bincount(kind[(two != ids) & (one == ids)], minlength=16)
+        self.seen[:, 1] += np.bincount(kind[by_two], minlength=16)
+        self.seen[:, 2] += np.bincount(kind[~by_two & by_one], minlength=16)
         # Where a slot comes more than once, numpy keeps the last: the newest follower.
-        self.two_held[at] = np.where(two == ids, np.minimum(self.two_held[at] + 1, 3), 1)
-        self.two[at] = ids
-        self.one_held[last] = np.where(one == ids, np.minimum(self.one_held[last] + 1, 3), 1)
-        self.one[last] = ids
+        self.two[at] = 4 * ids + np.where(by_two, np.minimum((two & 3) + 1, 3), 1)
+        self.one[last] = 4 * ids + np.where(by_one, np.minimum((one & 3) + 1, 3), 1)
         self.counts += np.bincount(ids, minlength=self.alphabet)
         self._settle()
 
@@ -120,10 +121,10 @@ def encode_block(ids: np.ndarray, alphabet: int, lanes: int = LANES) -> bytes:
     lanes, steps = _grid(n, lanes)
     if n and int(ids.max()) >= alphabet:
         raise ValueError("an id is outside the alphabet")
-    padded = np.zeros(lanes * steps, dtype=np.int64)
+    padded = np.zeros(lanes * steps, dtype=np.int32)
     padded[:n] = ids
-    grid = padded.reshape(lanes, steps).T.copy() if n else np.zeros((0, lanes), dtype=np.int64)
-    pad = np.full((2, lanes), alphabet, dtype=np.int64)
+    grid = padded.reshape(lanes, steps).T.copy() if n else np.zeros((0, lanes), dtype=np.int32)
+    pad = np.full((2, lanes), alphabet, dtype=np.int32)
     past = np.concatenate([pad, grid])
     model = _Model(alphabet)
     low = np.zeros(lanes, dtype=np.uint64)
@@ -136,8 +137,9 @@ def encode_block(ids: np.ndarray, alphabet: int, lanes: int = LANES) -> bytes:
     for begin, end in _rounds(steps):
         now, last, before = past[begin + 2 : end + 2], past[begin + 1 : end + 1], past[begin:end]
         two, one, w2, w1, times = model.mix(before, last)
-        freq = (model.cum[now + 1] - model.cum[now]) * times + w2 * (now == two) + w1 * (now == one)
-        start = model.cum[now] * times + w2 * (two < now) + w1 * (one < now)
+        below = model.cum[now]
+        freq = (model.cum[now + 1] - below) * times + w2 * (now == two) + w1 * (now == one)
+        start = below * times + w2 * (two < now) + w1 * (one < now)
         freq, start = freq.astype(np.uint64), start.astype(np.uint64)
         for k in range(end - begin):
             unit = span >> shift
@@ -196,7 +198,7 @@ def decode_block(block: bytes) -> np.ndarray:
 
     code = window(at)  # relative to low, so that no carry matters here
     span = np.full(lanes, 1 << _STATE, dtype=np.uint64)
-    past = np.full((steps + 2, lanes), alphabet, dtype=np.int64)
+    past = np.full((steps + 2, lanes), alphabet, dtype=np.int32)
     top = np.uint64((1 << _TOTAL) - 1)
     for begin, end in _rounds(steps):
         slots, cum = model.slots(), model.cum
@@ -204,23 +206,22 @@ def decode_block(block: bytes) -> np.ndarray:
             before, last = past[k], past[k + 1]
             two, one, w2, w1, times = model.mix(before, last)
             unit = span >> shift
-            value = np.minimum(code // unit, top).astype(np.int64)
+            value = np.minimum(code // unit, top).astype(np.int32)
             # Take what orders 2 and 1 hold before this value out of it, the lower id first.
-            swap = one < two
-            a, b = np.where(swap, one, two), np.where(swap, two, one)
-            wa, wb = np.where(swap, w1, w2), np.where(swap, w2, w1)
-            own_a = cum[a + 1] * times + wa
-            past_a = value >= own_a
-            own_b = cum[b + 1] * times + wa + wb
-            past_b = value >= own_b
-            base = value - wa * past_a - wb * past_b
+            a, b = np.minimum(one, two), np.maximum(one, two)
+            wa = np.where(one < two, w1, w2)
+            wb = w1 + w2 - wa
+            past_a = value >= cum[a + 1] * times + wa
+            past_b = value >= cum[b + 1] * times + wa + wb
             in_a = ~past_a & (value >= cum[a] * times) & (a < alphabet)
-            in_b = ~past_b & (value >= cum[b] * times + wa) & past_a & (b < alphabet)
-            got = slots[np.minimum(base // times, _EIGHTH - 1)].astype(np.int64)
+            in_b = past_a & ~past_b & (value >= cum[b] * times + wa) & (b < alphabet)
+            base = (value - wa * past_a - wb * past_b) * _INVERSE[times] >> 32
+            got = slots[np.minimum(base, _EIGHTH - 1)]
             got = np.where(in_a, a, np.where(in_b, b, got))
             past[k + 2] = got
-            freq = (cum[got + 1] - cum[got]) * times + w2 * (got == two) + w1 * (got == one)
-            start = cum[got] * times + w2 * (two < got) + w1 * (one < got)
+            below = cum[got]
+            freq = (cum[got + 1] - below) * times + w2 * (got == two) + w1 * (got == one)
+            start = below * times + w2 * (two < got) + w1 * (one < got)
             code = code - unit * start.astype(np.uint64)
             span = unit * freq.astype(np.uint64)
             small = np.flatnonzero(span < least)
