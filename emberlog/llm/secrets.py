@@ -126,8 +126,8 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[dict]:
     keys = ["token", "api_key", "secret", "password", "apikey", "access_token", "client_secret", "auth", "TOKEN", "Secret", "SECRET_KEY", "bearer", "private_key", "aws_secret_access_key", "passwd"]
     hashes = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "etag", "uuid", "revision", "hash", "trace_id", "request_id", "Commit", "blob", "build"]
     plain = [w for w in _DICTIONARY.split() if len(w) > 2]
-    syllables = ["er", "en", "on", "ing", "ed", "th", "st", "tion", "es", "an", "at", "or", "re", "in", "ha", "nd", "ble", "ly", "sh", "wh", "ou", "ea", "ti", "nt", "he", "mente", "que", "eau", "ung", "lich", "heit", "ado", "ar"]
-    paths = ["src0", "app/config.py", "deploy/settings.yaml", "notes.md", "src12", ""]
+    syllables = [c + v for c in "bcdfghlmnprst" for v in "aeiou"] + [v + c for v in "aeiou" for c in "lnrst"] + ["tion", "ing", "ness", "ed"]
+    paths = ["src/main.go", "app/config.py", "deploy/settings.yaml", "notes.md", "lib/io.c", ""]
     aside = ["tests/test_auth.py", "docs/example.md", "package-lock.json", "fixtures/sample.json", "vendor/dist.min.js"]
 
     def upper_some(x: str) -> str:
