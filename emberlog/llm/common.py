@@ -55,10 +55,10 @@ def sliced(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[
             yield batch.slice(begin, end - begin)
 
 
-def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, limit: int = 4 << 20) -> DataFrame:
     """mapInArrow over slices of bounded size, with this package importable on the workers."""
     ensure_importable(df.sparkSession)
-    return df.mapInArrow(lambda batches: rows(sliced(batches)), schema)
+    return df.mapInArrow(lambda batches: rows(sliced(batches, limit)), schema)
 
 
 def clash_free(df: DataFrame, *wanted: str) -> DataFrame:

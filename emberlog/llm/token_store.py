@@ -7,9 +7,12 @@ part, block, offset (ids of the part before it), doc_ids, counts and the coded i
 decodes by itself, so reading is a narrow pass. Only one total for each written part reaches the
 driver (as many numbers as there were tasks), to place the parts one after another.
 
-Texts are cut at blanks, line feeds and between an ASCII letter and a full stop, comma or the like
+Texts are cut at blanks, line feeds and between a Latin letter and a full stop, comma or the like
 before the tokenizers library sees them, where this vocabulary (white space is dropped, letters and
-marks never share a token) always cuts; only words that a bounded memo doesn't hold are encoded.
+marks never share a token) always cuts; each word of a batch is encoded once. Words of Latin letters
+only need none of the library's normal forms and patterns: they are lower-cased, written in the
+vocabulary's letters for bytes and given to its merges. Every worker first holds that way against
+the library on a few thousand words, and leaves it if they differ.
 The strings of the vocabulary's special tokens have none of these places, so they stay whole and
 get the ids that the library gives them.
 
@@ -21,7 +24,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import repeat
 from pathlib import Path
 
 import numpy as np
@@ -41,100 +43,93 @@ _WORKERS: dict[str, WordEncoder] = {}
 
 #: Stands between words that are encoded in one call. The library cuts there before it does anything else.
 _BETWEEN = "\ue000"
-_LETTER_MARK, _MARK_LETTER = r'([A-Za-z])([.,;:!?()"])', r'([.,;:!?()"])([A-Za-z])'
-_ONE_PIECE = r"^\p{L}+$"
-MEMO_CHARS = 64  # of a word that is remembered at most
-MEMO_WORDS, MEMO_IDS = 600_000, 16_000_000  # beyond either the memo starts anew: some 200 MB
+#: Latin letters whose small form is one letter in every normal form (so without the dotted capital I).
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_MARKS = r'.,;:!?()"*&%$#@/'
+_LETTER_MARK, _MARK_LETTER = f"([{_LATIN}])([{_MARKS}])", f"([{_MARKS}])([{_LATIN}])"
+_WORD = f"^[{_LATIN}]+$"
+_AT_ONCE = 200  # words in one text
 
 
-class WordEncoder:
-    """Ids of a tokenizers vocabulary that drops white space, one word at a time.
+def _byte_letters() -> np.ndarray:
+    """The letter (UTF-16) that stands for each byte: itself if it can be seen, else the next one from 256 on. The blank stays, it only separates."""
+    seen = np.zeros(256, dtype=bool)
+    for first, last in (("!", "~"), ("\u00a1", "\u00ac"), ("\u00ae", "\u00ff")):
+        seen[ord(first) : ord(last) + 1] = True
+    letters = np.where(seen, np.arange(256), 255 + np.cumsum(~seen)).astype("<u2")
+    letters[ord(" ")] = ord(" ")
+    return letters
+
 
-    Words that were met have a slot: where their ids stand in `ids`. The memo is bounded in words and in bytes.
-    """
+class WordEncoder:
+    """Ids of a tokenizers vocabulary that drops white space, one word at a time. It holds nothing from batch to batch."""
 
     def __init__(self, definition: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import AddedToken, Tokenizer
+        from tokenizers import AddedToken, Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_str(definition)
+        self.tokenizer, self.many, self.merges = (Tokenizer.from_str(definition) for _ in range(3))
         self.alphabet = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.many = Tokenizer.from_str(definition)
         self.many.add_tokens([AddedToken(_BETWEEN, special=False, normalized=False)])
-        for t in (self.tokenizer, self.many):
-            if hasattr(t.model, "_resize_cache"):  # the memo does this better
-                t.model._resize_cache(0)
         self.between = self.many.token_to_id(_BETWEEN)
+        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        for t in (self.tokenizer, self.many, self.merges):
+            if hasattr(t.model, "_resize_cache"):  # words come once
+                t.model._resize_cache(0)
+        self.letters = _byte_letters()
         #: Whether an id ends a word: told by its string.
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         self.ends = np.zeros(self.alphabet, dtype=bool)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         if suffix:
-            for text, k in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            for text, k in vocabulary.items():
                 self.ends[k] = text.endswith(suffix)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.ids = np.zeros(0, dtype="<u4")
-        self.starts = self.sizes = np.zeros(0, dtype=np.int64)
-
-    def _letters(self, words: list[str], at_once: int = 200) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The ids of words of letters only, in parts, and how many each word has. Many words make one text: each ends with the one id in it that ends a word."""
-        ids, sizes = [], []
-        groups = [words[k : k + at_once] for k in range(0, len(words), at_once)]
-        for group, made in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            got = np.array(made.ids, dtype="<u4")
-            cuts = np.flatnonzero(self.ends[got])
-            if len(cuts) == len(group) and cuts[-1] == len(got) - 1:
-                ids.append(got)
-                sizes.append(np.diff(cuts, prepend=-1))
-            else:  # a letter that is several in this normal form
-                more = self._any(group)
-                ids += more[0]
-                sizes += more[1]
-        return ids, sizes
-
-    def _any(self, words: list[str], at_once: int = 200) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """The same for any words, with a mark between them."""
-        ids, sizes = [], []
-        groups = [words[k : k + at_once] for k in range(0, len(words), at_once)]
-        marked = [any(_BETWEEN in w for w in g) for g in groups]
-        told = iter(self.many.encode_batch_fast([_BETWEEN.join(g) for g, m in zip(groups, marked, strict=True) if not m], add_special_tokens=False))
-        for group, m in zip(groups, marked, strict=True):
-            if m:  # a word that holds the mark itself: one by one
-                each = [np.array(x.ids, dtype="<u4") for x in self.tokenizer.encode_batch_fast(group, add_special_tokens=False)]
-                ids += each
-                sizes.append(np.array([len(x) for x in each], dtype=np.int64))
-            else:
-                got = np.array(next(told).ids, dtype="<u4")
-                cuts = np.flatnonzero(got == self.between)
-                ids.append(got[got != self.between])
-                sizes.append(np.diff(np.concatenate([[-1], cuts, [len(got)]])) - 1)
-        return ids, sizes
-
-    def _slots(self, dictionary: pa.Array) -> np.ndarray:
-        words = dictionary.to_pylist()
-        if len(self.slot) > MEMO_WORDS or len(self.ids) > MEMO_IDS:
-            self._forget()
-        slots = np.fromiter(map(self.slot.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        new = np.flatnonzero(slots < 0)
-        if len(new):
-            letters = pc.match_substring_regex(dictionary, _ONE_PIECE).to_numpy(zero_copy_only=False)[new]
-            ids, sizes = [self.ids], [self.sizes]
-            for chosen, encode in ((new[letters], self._letters), (new[~letters], self._any)):
-                first = sum(map(len, sizes))
-                slots[chosen] = np.arange(first, first + len(chosen))
-                names = [words[k] for k in chosen.tolist()]
-                made = encode(names)
-                ids += made[0]
-                sizes += made[1]
-                self.slot.update(zip(names, range(first, first + len(names)), strict=True))
-                for w in names if max(map(len, names), default=0) > MEMO_CHARS else ():
-                    if len(w) > MEMO_CHARS:
-                        del self.slot[w]
-            self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
-            self.starts = np.cumsum(self.sizes) - self.sizes
-        return slots
+        self.latin = bool(suffix) and self._merges_suffice(vocabulary, suffix)
+
+    def _merges_suffice(self, vocabulary: dict[str, int], suffix: str) -> bool:
+        """Whether the merges alone give the library's ids: every Latin letter, and words of the vocabulary in small and capital letters."""
+        every = pa.array([chr(k) for k in range(0x250)])
+        letters = every.filter(pc.match_substring_regex(every, _WORD)).to_pylist()
+        known = sorted(w[: -len(suffix)] for w in vocabulary if w.endswith(suffix) and w[: -len(suffix)].isascii() and w[: -len(suffix)].isalpha())[::16]
+        tried = pa.array(letters + [a + b for a, b in zip(letters, letters[7:], strict=False)] + known + [w.capitalize() + w.upper() for w in known])
+        (ours, our_sizes), (theirs, their_sizes) = self._latin_words(tried), self._any(tried)
+        return np.array_equal(our_sizes, their_sizes) and np.array_equal(ours, theirs)
+
+    @staticmethod
+    def _joined(words: pa.Array, between: str) -> list[str]:
+        """Texts of some words each."""
+        begins = np.append(np.arange(0, len(words), _AT_ONCE), len(words)).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(begins), words), between).to_pylist()
+
+    def _latin_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of Latin letters only, and how many each word has: a word ends with the one id in it that ends a word."""
+        texts = [t.lower() for t in self._joined(words, " ")]
+        spelt = [t if t.isascii() else self.letters[np.frombuffer(t.encode(), dtype=np.uint8)].tobytes().decode("utf-16-le") for t in texts]
+        made = self.merges.encode_batch_fast(spelt, add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, dtype="<u4"), *(np.array(m.ids, dtype="<u4") for m in made)])
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
+    def _any(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for any words, with a mark between them; if one holds the mark itself, one by one."""
+        if pc.any(pc.match_substring(words, _BETWEEN)).as_py():
+            each = [np.array(m.ids, dtype="<u4") for m in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+            return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
+        made = self.many.encode_batch_fast([t + _BETWEEN for t in self._joined(words, _BETWEEN)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, dtype="<u4"), *(np.array(m.ids, dtype="<u4") for m in made)])
+        cuts = np.flatnonzero(ids == self.between)
+        return ids[ids != self.between], np.diff(cuts, prepend=-1) - 1
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words, where each word's ids start, how many they are)."""
+        latin = pc.match_substring_regex(words, _WORD).to_numpy(zero_copy_only=False) & self.latin
+        starts, sizes, ids = np.zeros(len(words), dtype=np.int32), np.zeros(len(words), dtype=np.int32), []
+        first = 0
+        for chosen, encode in ((latin, self._latin_words), (~latin, self._any)):
+            got, n = encode(words.filter(pa.array(chosen)))
+            starts[chosen], sizes[chosen] = first + np.cumsum(n) - n, n
+            ids.append(got)
+            first += len(got)
+        return np.concatenate(ids), starts, sizes
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, where each text's ids end)."""
@@ -143,12 +138,14 @@ class WordEncoder:
             spaced = pc.replace_substring_regex(spaced, pattern, r"\1 \2")
         cut = pc.split_pattern(spaced, " ")
         coded = cut.flatten().dictionary_encode()
-        which = self._slots(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
-        counts = self.sizes[which]
-        ends = np.cumsum(counts)
-        at = np.repeat(self.starts[which] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        ids, starts, sizes = self._words(coded.dictionary)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[which]
+        ends = np.cumsum(counts, dtype=np.int32)  # a batch of Arrow strings is below 2 GiB, and an id takes a byte at least
+        at = np.repeat(starts[which] - (ends - counts), counts)
+        at += np.arange(len(at), dtype=np.int32)
         words = np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))
-        return self.ids[at], np.concatenate([[0], ends])[words]
+        return ids[at], np.concatenate([[0], ends])[words]
 
 
 def write_ids(docs: DataFrame, path: str, definition: str, end_id: int | None = 2, block_ids: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -188,7 +185,7 @@ def write_ids(docs: DataFrame, path: str, definition: str, end_id: int | None =
             yield close()
 
     dealt = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_rows(dealt, rows, _SCHEMA).write.parquet(path)
+    map_rows(dealt, rows, _SCHEMA, limit=8 << 20).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
