@@ -8,7 +8,7 @@ codes each id by its share. All counts change while a block is coded, the same w
 
 Layout. A block begins with an empty model and holds everything needed to decode it. Its ids run
 in up to `LANES` lanes side by side, each with a range coder of its own, all with one model; the
-model learns at fixed steps (after 1, 2, 4 ... 64, then every 64 ids of a lane). So numpy codes
+model learns at fixed steps (after 1, 2, 4 ... 32, then every 32 ids of a lane). So numpy codes
 all lanes at once. Header: magic, version, alphabet, ids, lanes, CRC-32 of the ids (little-endian
 32-bit), CRC-32 of the rest; then the words of each lane. Both sums are verified when decoding.
 """
@@ -20,8 +20,8 @@ import zlib
 
 import numpy as np
 
-MAGIC, VERSION = b"EMID", 1
-LANES = 4096
+MAGIC, VERSION = b"EMID", 2
+LANES = 8192
 _TOTAL, _BASE = 20, 17  # bits of all shares, and of order 0's
 _EIGHTH = 1 << _BASE
 _STATE, _LOW = 60, 28  # bits of a coder's range at most; below 2**_LOW it sends a word of 32 bits
@@ -106,7 +106,7 @@ def _rounds(steps: int):
     while begin < steps:
         end = min(steps, begin + width)
         yield begin, end
-        begin, width = end, min(64, max(1, end))
+        begin, width = end, min(32, max(1, end))
 
 
 def _grid(n: int, lanes: int) -> tuple[int, int]:
