@@ -73,7 +73,8 @@ def enrich(examples: DataFrame, depth: int = 2, observed_at: str = "", id_prefix
 
 def require_valid(enriched: DataFrame) -> DataFrame:
     """enriched, or ValueError if a row's validation failed."""
-    bad = enriched.where(~F.col("metadata.validation.ok")).select("source_index", "metadata.validation.errors").limit(1).collect()
+    told = F.col("metadata.validation")
+    bad = enriched.where(told.isNotNull() & ~F.coalesce(told["ok"], F.lit(False))).select("source_index", "metadata.validation.errors").limit(1).collect()
     if bad:
         raise ValueError(f"enrichment failed for example {bad[0][0]}: {bad[0][1]}")
     return enriched

@@ -102,10 +102,22 @@ def training_json(spark: SparkSession, path: str, limit: int | None = None) -> D
     return limited(rows, limit)
 
 
+def answers(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """(source_index, answer) of a corpus file."""
+    return training_json(spark, path, limit).select("source_index", "answer")
+
+
 def preprocessed(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Enriched rows from Parquet; a row whose validation failed is an error."""
+    """Enriched rows from Parquet, or from the corpus document where path ends in .json; a row whose validation failed is an error.
+
+    Rows without metadata or without a validation in it pass.
+    """
     if not _exists(spark, path):
         raise FileNotFoundError(path)
+    if path.rstrip("/").endswith(".json"):
+        rows = training_json(spark, path, limit)
+        kind = rows.schema["metadata"].dataType if "metadata" in rows.columns else None
+        return require_valid(rows) if isinstance(kind, T.StructType) and "validation" in kind.names else rows
     return require_valid(limited(spark.read.parquet(path), limit))
 
 
@@ -118,9 +130,10 @@ def training_examples(spark: SparkSession, mode: str, path: str, limit: int | No
     raise ValueError(f"unknown training mode: {mode}")
 
 
-def pick_instruction(examples: DataFrame, seed: int) -> DataFrame:
-    """One row, the same for the same seed: the least by a seeded hash of its index."""
-    return examples.orderBy(F.xxhash64(F.lit(seed), "source_index"), "source_index").limit(1)
+def pick_instruction(examples: DataFrame, seed: int | None = None) -> DataFrame:
+    """One row: any without a seed; else the least by a seeded hash of its index, the same for the same seed."""
+    drawn = F.rand() if seed is None else F.xxhash64(F.lit(seed), "source_index")
+    return examples.orderBy(drawn, "source_index").limit(1)
 
 
 def context_document(spark: SparkSession, path: str | None) -> DataFrame:

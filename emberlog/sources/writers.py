@@ -29,6 +29,12 @@ def corpus_document(examples: DataFrame, path: str) -> None:
     rows.select(*[F.array(F.col("r")[c]).alias(names[c]) for c in columns]).coalesce(1).write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
+def split_examples(examples: DataFrame, path: str) -> dict[str, int]:
+    """Examples with a split column as Parquet, partitioned by it; the rows of each side."""
+    examples.write.mode("overwrite").partitionBy("split").parquet(path)
+    return {f"{r['split']}_examples": r["count"] for r in examples.sparkSession.read.parquet(path).groupBy("split").count().collect()}
+
+
 def aligned_splits(original: DataFrame, enriched: DataFrame, path: str) -> dict[str, int]:
     """Both variants of the examples under one split column, partitioned by it: original/split=..., enriched/split=...
 
