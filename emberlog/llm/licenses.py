@@ -30,7 +30,7 @@ TEMPLATES = (
     ("apache-2", "licensed under the apache license version 2 0 [[ the license ]] you may not use this file except in compliance with the license"),
     ("apache-2", "[[ licensed ]] under the apache license version 2"),
     ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{0-80}} neither the name of {{1-12}} nor the names of its contributors may be used to endorse or promote products derived from this software"),
-    ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{0-8}} redistributions of source code must retain the above copyright notice"),
+    ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {{0-1}} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {{0-1}} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by"),
     ("gpl-3", "[[ licensed under ]] the gnu general public license [[ as published by the free software foundation either ]] version 3"),
     ("gpl-2", "[[ licensed under ]] the gnu general public license [[ as published by the free software foundation either ]] version 2"),
     ("lgpl", "the gnu lesser general public license [[ as published by the free software foundation either ]] version {{1-1}}"),
