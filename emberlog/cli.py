@@ -1,7 +1,7 @@
 """Command line: python -m emberlog.cli incident|context|actions|gate|evaluate|compare|preprocess ...
 
-Every command prints one JSON document. What grows with the input (judged actions, examples) is
-written by the executors under --output, never gathered here.
+Every command prints one JSON document. With --output, what grows with the input (actions, examples) is
+written there by the executors; without it, actions are part of the printed document, for small inputs.
 """
 
 from __future__ import annotations
@@ -87,9 +87,17 @@ def _judged(spark: SparkSession, path: str, output: str | None, options: dict[st
     return records, spark.read.parquet(output)
 
 
+def _listed(details: DataFrame, output: str | None) -> dict[str, Any]:
+    """The judged actions for the document, unless they were written."""
+    if output:
+        return {}
+    columns = ("record_index", "action_index", "action", "hallucinated", "unsafe", "command_count", "incorrect_command_count", "findings")
+    return {"action_evaluations": [r.asDict(recursive=True) for r in details.select(*columns).orderBy("record_index", "action_index").collect()]}
+
+
 def _evaluate(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]:
     records, details = _judged(spark, args.input, args.output and f"{args.output}/actions", _options(args))
-    return _metrics(_one(evaluation.report(records, details)))
+    return _metrics(_one(evaluation.report(records, details))) | _listed(details, args.output)
 
 
 def _compare(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]:
@@ -102,7 +110,7 @@ def _compare(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]:
     changes = evaluation.compare_reports(spark.createDataFrame(list(found.values()), both.schema), "baseline", "candidate").collect()
     head = {f"{side}_name": name for side, name in names.items()} | {"paired_record_count": found["baseline"]["record_count"]}
     told = ("baseline_rate", "candidate_rate", "absolute_change", "absolute_improvement", "relative_reduction")
-    return head | {side: _metrics(found[side]) for side in names} | {r["metric"]: {c: r[c] for c in told} for r in sorted(changes, key=lambda r: evaluation.RATES.index(r["metric"]))}
+    return head | {side: _metrics(found[side]) | _listed(sides[side][1], args.output) for side in names} | {r["metric"]: {c: r[c] for c in told} for r in sorted(changes, key=lambda r: evaluation.RATES.index(r["metric"]))}
 
 
 def _preprocess(spark: SparkSession, args: argparse.Namespace) -> dict[str, Any]:

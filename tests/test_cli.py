@@ -61,6 +61,8 @@ def test_gate_evaluate_compare(spark, tmp_path):
     assert json.loads("\n".join(r.value for r in spark.read.text(str(tmp_path / "report/report")).collect())) == one
     assert spark.read.parquet(str(tmp_path / "report/actions")).count() == 2
     both = run(spark, "compare", "--baseline-input", tmp_path / "base.jsonl", "--candidate-input", tmp_path / "tuned.jsonl", "--as-of-year", 2025)
+    listed = both["baseline"].pop("action_evaluations")
+    assert [(a["record_index"], a["action_index"], a["hallucinated"]) for a in listed] == [(0, 0, True), (1, 0, True)] and listed[0]["findings"]
     assert both["baseline"] == one and both["baseline_name"] == "base" and both["paired_record_count"] == 2
     assert both["hallucinated_action_rate"] == {"baseline_rate": 1.0, "candidate_rate": 0.0, "absolute_change": -1.0, "absolute_improvement": 1.0, "relative_reduction": 1.0}
     assert both["incorrect_command_rate"]["relative_reduction"] is None
