@@ -148,16 +148,33 @@ def fingerprints_of_vectors(media: DataFrame, id_col: str, vector_col: str) -> D
     return _fingerprinted(media.select(F.col(f"`{id_col}`"), F.col(f"`{vector_col}`")), id_col, lambda v: melody(v) if v is not None else b"")
 
 
+def spectrum_width(least: int) -> int:
+    """The smallest even number from least on without prime factors above 5: spectra of such widths are quick."""
+    width = max(2, least + least % 2)
+    while True:
+        rest = width
+        for prime in (2, 3, 5):
+            while rest % prime == 0:
+                rest //= prime
+        if rest == 1:
+            return width
+        width += 2
+
+
 class Block:
     """Some queries, compared with recordings at every offset by offset histograms.
 
     Every two positions vote for the offset between them with the bits they agree in (less those they don't). All
     votes of a pair of recordings are one correlation of their bits, summed over the 32 filters' bits: a product of
     spectra. The histogram is exact (whole numbers), and with the overlap it gives each offset's bit error.
+
+    Spectra wrap around. They are only as wide as keeps the offsets of enough overlap apart; those of less overlap fall
+    on each other and are never read.
     """
 
     CELLS = 1 << 18  # query positions and offsets whose spectra are held at once, 128 bytes each
     BATCH = 32  # recordings that are compared at once
+    NEAR = 1 << 18  # votes that are counted and read at once: 1 MB, so that they stay in a core's cache
 
     def __init__(self, queries: list[tuple[str, np.ndarray]]):
         self.names = [q for q, _ in queries]
@@ -181,33 +198,39 @@ class Block:
             made[:, k] = np.fft.rfft(bits, axis=0)
         return made
 
-    def _overlaps(self, part: list[int], n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The offset of each of width places, and how many positions each query of part has in common with n there."""
+    @staticmethod
+    def _overlaps(sizes: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The offset of each of width places, and how many positions a query of each size has in common with n there."""
         offset = np.arange(width)
         offset = np.where(offset <= width - n, offset, offset - width)
-        size = self.sizes[part][None, :]
-        return offset, np.maximum(0, np.minimum(size, n + offset[:, None]) - np.maximum(0, offset[:, None]))
+        return offset, np.maximum(0, np.minimum(sizes[None, :], n + offset[:, None]) - np.maximum(0, offset[:, None]))
 
     def _compared(self, part: list[int], others: list[np.ndarray], width: int, max_error: float, least_overlap: int):
         """Arrays (other, query, error, distance, offset) of the offsets that qualify."""
         key = (width, tuple(part))
         if self._kept[0] != key:
             self._kept = (key, self._spectra([self.values[k] for k in part], width))
-        spectra = np.conj(self._spectra(others, width)).transpose(0, 2, 1)
-        votes = np.fft.irfft(self._kept[1] @ spectra, width, axis=0)
-        sizes = np.array([len(x) for x in others])
-        for n in np.unique(sizes).tolist():
-            at = np.flatnonzero(sizes == n)
-            offset, overlap = self._overlaps(part, n, width)
-            least = np.maximum(1, np.minimum(least_overlap, np.minimum(self.sizes[part], n)))
-            needed = np.where(overlap >= least, 32 * overlap * (1 - 2 * max_error) - 0.5, np.inf).astype(votes.dtype)
-            chosen = votes if len(at) == len(others) else votes[:, :, at]
-            o, q, k = np.nonzero(chosen >= needed[:, :, None])
-            bits = 32 * overlap[o, q]
-            error = (bits - np.rint(chosen[o, q, k]).astype(np.int64)) // 2 / bits
-            hit = error <= max_error
-            o, q, k = o[hit], q[hit], k[hit]
-            yield at[k], np.array(part)[q], error[hit], np.abs(offset[o]), offset[o]
+        spectra = np.ascontiguousarray(np.conj(self._spectra(others, width)).transpose(0, 2, 1))
+        lengths = np.array([len(x) for x in others])
+        sizes, kind = np.unique(self.sizes[part], return_inverse=True)
+        limits = []
+        for n in np.unique(lengths).tolist():
+            offset, overlap = self._overlaps(sizes, n, width)
+            least = np.maximum(1, np.minimum(least_overlap, np.minimum(sizes, n)))
+            needed = np.where(overlap >= least, 32 * overlap * (1 - 2 * max_error) - 0.5, np.inf)
+            limits.append((np.flatnonzero(lengths == n), offset, overlap, needed.astype(np.float32 if width <= 4096 else np.float64)))
+        step = max(1, self.NEAR // (width * len(others)))
+        for first in range(0, len(part), step):
+            votes = np.fft.irfft(self._kept[1][:, first : first + step] @ spectra, width, axis=0)
+            of = kind[first : first + step]
+            for at, offset, overlap, needed in limits:
+                chosen = votes if len(at) == len(others) else votes[:, :, at]
+                o, q, k = np.unravel_index(np.flatnonzero(chosen >= needed[:, of, None]), chosen.shape)
+                bits = 32 * overlap[o, of[q]]
+                error = (bits - np.rint(chosen[o, q, k]).astype(np.int64)) // 2 / bits
+                hit = error <= max_error
+                o, q, k = o[hit], q[hit], k[hit]
+                yield at[k], np.array(part)[first + q], error[hit], np.abs(offset[o]), offset[o]
 
     def aligned(self, others: list[np.ndarray], max_error: float, least_overlap: int) -> list[list[tuple[str, int, float]]]:
         """For each other recording (query, offset, bit error) of each query that it aligns with; it begins offset positions later in the query."""
@@ -218,8 +241,9 @@ class Block:
                 waiting.setdefault(int(len(other) - 1).bit_length(), []).append(k)
         for members in waiting.values():
             for group in self.classes:
-                longest = int(self.sizes[group].max()) + max(len(others[k]) for k in members) - 1
-                width = 1 << max(1, int(longest - 1).bit_length())
+                lengths = [len(others[k]) for k in members]
+                shared = max(1, min(least_overlap, int(self.sizes[group].min()), min(lengths)))
+                width = spectrum_width(int(self.sizes[group].max()) + max(lengths) - shared)
                 step = max(1, self.CELLS // width)
                 for first in range(0, len(group), step):
                     part = group[first : first + step]
