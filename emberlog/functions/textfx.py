@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import reduce
+from re import _parser as parsing
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,9 +23,60 @@ _WORD = r"[\p{L}\p{N}_]"
 #: A word boundary.
 B = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 _CLASSES = {"d": r"\p{Nd}", "s": WS}
+#: The same white space as a text.
+WS_CHARS = "".join(c for c in map(chr, range(0x10000)) if re.match(f"[{WS}]", c))
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
+def _starts(part, codes: set[str]) -> bool:
+    """Adds the characters with which a match of a parsed pattern can start; False where it can be empty or they are not told."""
+    for op, arg in part:
+        name = str(op)
+        if name == "LITERAL":
+            codes.add(chr(arg))
+            return True
+        if name == "IN":
+            for kind, x in arg:
+                if str(kind) == "LITERAL":
+                    codes.add(chr(x))
+                elif str(kind) == "RANGE":
+                    codes.update(map(chr, range(x[0], x[1] + 1)))
+                elif str(x) == "CATEGORY_DIGIT":
+                    codes.add(r"\d")
+                else:
+                    return False
+            return True
+        if name == "SUBPATTERN":
+            return _starts(arg[-1], codes)
+        if name == "BRANCH":
+            return all([_starts(x, codes) for x in arg[1]])
+        if name != "MAX_REPEAT" or not _starts(arg[2], codes):
+            return False
+        if arg[0]:
+            return True
+    return False
+
+
+def _boundary(rest: str, ignore_case: bool) -> str:
+    """The boundary in front of the whole rest of a pattern: a test of the next character that most places fail comes first.
+
+    Where a match can only start with a word character, the boundary is that none stands before.
+    """
+    codes: set[str] = set()
+    try:
+        told = _starts(parsing.parse(rest), codes)
+    except re.error:
+        return B
+    plain = {c for c in codes if len(c) == 1}
+    if not told or not all(c.isascii() for c in plain):
+        return B
+    if ignore_case:  # with the two other characters that fold to ASCII letters
+        plain |= {x for c in plain for x in (c.lower(), c.upper())} | ({"\u017f"} if plain & set("sS") else set()) | ({"\u212a"} if plain & set("kK") else set())
+    listed = "".join(sorted(c if c.isalnum() else f"\\{c}" for c in plain)) + (_CLASSES["d"] if r"\d" in codes else "")
+    before = f"(?<!{_WORD})" if all(c.isalnum() or c == "_" for c in plain) else B
+    return f"(?-iu:(?=[{listed}])){before}"
+
+
 def java(pattern: str, ignore_case: bool = False) -> str:
     r"""A Python pattern for Java: \b, \d, \s and $ get Python's meaning.
 
@@ -37,7 +89,7 @@ def java(pattern: str, ignore_case: bool = False) -> str:
         if c == "\\":
             e = pattern[i + 1]
             if e == "b":
-                out.append(B)
+                out.append(_boundary(pattern[2:], ignore_case) if i == 0 else B)
             elif e in _CLASSES:
                 out.append(_CLASSES[e] if inside or e == "d" else f"[{_CLASSES[e]}]")
             else:
@@ -67,7 +119,7 @@ def held(value: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, F.lit(rf"\A[{WS}]++|[{WS}]++\z"), F.lit(""))
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def rstrip(c: Column, chars: str) -> Column:
@@ -105,11 +157,20 @@ def best_group(lowered: Column, groups: dict[str, tuple[str, ...]], otherwise: s
     return F.when(best["score"] > 0, best["name"]).otherwise(F.lit(otherwise))
 
 
-def first_sentence_with(text: Column, words: tuple[str, ...]) -> Column:
-    """The first sentence (or line) with one of the words, stripped; empty if none."""
-    sentences = F.split(text, rf"(?<=[.!?])[{WS}]+|\n+", -1)
-    hit = F.filter(sentences, lambda s: contains_any(F.lower(s), words))
-    return F.coalesce(strip(F.get(hit, 0)), F.lit(""))
+def sentences(text: Column) -> Column:
+    """The text's sentences and lines."""
+    return F.split(text, rf"(?=[{WS}])(?:(?<=[.!?])[{WS}]+|\n+)", -1)
+
+
+def first_sentence_with(lowered: Column, parts: Column, lowered_parts: Column, words: tuple[str, ...]) -> Column:
+    """The first of a text's sentences with one of the words, stripped; empty if none. Most texts have none and end at a plain test."""
+    hit = F.filter(parts, lambda _, i: contains_any(F.get(lowered_parts, i), words))
+    return F.when(contains_any(lowered, words), F.coalesce(strip(F.get(hit, 0)), F.lit(""))).otherwise("")
+
+
+def guarded(present: Column, values: Column) -> Column:
+    """values (an array of texts) where they can be present, else none."""
+    return F.when(present, values).otherwise(F.array().cast("array<string>"))
 
 
 def split_clean(text: Column, pattern: str) -> Column:

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from emberlog.functions import dims
 from emberlog.functions.records import shell_heads
 from emberlog.functions.textfx import extract_all, filled, held, java, let
-from emberlog.operators.actions import ACTION, parse_actions
+from emberlog.operators.actions import actions_of_rows
 from emberlog.operators.incident import CVE
-from emberlog.runtime import ensure_importable
+from emberlog.runtime import ensure_importable, once_each
 
 FINDING = "struct<category:string,severity:string,message:string,evidence:string>"
 SHORT_CVE = java(dims.MALFORMED_CVE_PATTERN, True)
@@ -152,24 +152,41 @@ def is_error(finding: Column) -> Column:
     return finding["severity"] == "error"
 
 
-def validate(df: DataFrame, as_of_year: int, generation: str = "generation", kind: str | None = None, context: str | None = None, **options) -> DataFrame:
-    """One row for each action: df's columns, action_index, action, findings, accepted."""
-    told = df.withColumn("__known", known(F.col(f"`{context}`"))) if context else df
-    found = with_findings(parse_actions(told, generation, kind), "__known" if context else None, as_of_year, **options)
+def _grounded(df: DataFrame, generation: str, kind: str | None, context: str | None, ground: str | None) -> tuple[DataFrame, list[str], str | None]:
+    """df with what its contexts tell; the columns on which alone a judgement depends; the name of that one."""
+    told = df.withColumn("__known", known(F.col(f"`{context}`"))) if context and not ground else df
+    ground = ground or ("__known" if context else None)
+    return told, [c for c in (generation, kind, ground) if c], ground
+
+
+def validate(df: DataFrame, as_of_year: int, generation: str = "generation", kind: str | None = None, context: str | None = None, ground: str | None = None, **options) -> DataFrame:
+    """One row for each action: df's columns, action_index, action, findings, accepted.
+
+    context names a column of contexts, ground one of what `known` made of them already. Equal generations with
+    contexts that tell the same are judged once.
+    """
+    told, keys, ground = _grounded(df, generation, kind, context, ground)
+    found = once_each(told, keys, lambda rows: with_findings(actions_of_rows(rows, generation, kind), ground, as_of_year, **options))
     return found.withColumn("accepted", ~F.exists("findings", is_error)).drop("__known")
 
 
-def process(df: DataFrame, key: str, as_of_year: int, generation: str = "generation", kind: str | None = None, context: str | None = None, **options) -> DataFrame:
+def process(df: DataFrame, key: str, as_of_year: int, generation: str = "generation", kind: str | None = None, context: str | None = None, ground: str | None = None, **options) -> DataFrame:
     """One row for each generation: key, accepted, actions, blocked_actions, findings, summary.
 
-    Actions are judged one by one and gathered by key, which must be unique; a generation without
-    actions keeps its row and is accepted.
+    Actions are judged one by one and gathered by key, which must be unique (equal generations once, by their text and
+    what their contexts tell); a generation without actions keeps its row and is accepted.
     """
-    judged = validate(df.select(key, *[c for c in (generation, kind, context) if c]), as_of_year, generation, kind, context, **options)
-    wrapped = F.struct("action_index", F.struct("action", "accepted", "findings").alias("x"))
-    gathered = judged.groupBy(key).agg(F.sort_array(F.collect_list(wrapped)).alias("all"))
-    none = F.array().cast(f"array<struct<action:{ACTION},accepted:boolean,findings:array<{FINDING}>>>")
-    whole = df.select(key).join(gathered, key, "left").withColumn("all", F.coalesce(F.transform("all", lambda a: a["x"]), none))
+    told, keys, ground = _grounded(df, generation, kind, context, ground)
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        by = [key] if key in rows.columns else keys
+        judged = with_findings(actions_of_rows(rows, generation, kind), ground, as_of_year, **options).withColumn("accepted", ~F.exists("findings", is_error))
+        wrapped = judged.select(*by, F.struct("action_index", F.struct("action", "accepted", "findings").alias("x")).alias("w"))
+        # Lists leave out the nulls, so that a generation without actions has an empty one.
+        every = wrapped.unionByName(rows.select(*by, F.lit(None).cast(wrapped.schema["w"].dataType).alias("w")))
+        return every.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list("w")), lambda a: a["x"]).alias("all"))
+
+    whole = once_each(told.select(key, *keys), keys, gathered)
     blocked, kept = F.filter("all", lambda a: ~a["accepted"]), F.filter("all", lambda a: a["accepted"])
     found = F.flatten(F.transform("all", lambda a: a["findings"]))
     count = lambda level: F.size(F.filter(found, lambda f: f["severity"] == level)).cast("string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.functions import dims
 from emberlog.operators import actions, evaluation, gate, graph, incident, training
 from emberlog.plans import oracle, views
-from emberlog.runtime import exploded, materialize, scratch_path, spread
+from emberlog.runtime import exploded, materialize, once_each, scratch_path, spread
 from emberlog.sources import readers, writers
 
 YEAR = oracle.YEAR
@@ -171,15 +171,17 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generations with the context of their own log line, in one narrow pass."""
-    rows = generations(spark, sf_dir)
-    events = rows.withColumns({"incident_id": F.col("line"), "raw_events": F.array("line")})
-    found = graph.contexts(incident.incidents(events))
-    return found.select("model", "record_index", "record_id", "generation", graph.context_struct().alias("context"))
+    """Generations with what the context of their own log line tells the gate; equal lines have one context."""
+
+    def told(lines: DataFrame) -> DataFrame:
+        found = graph.contexts(incident.incidents(lines.withColumns({"incident_id": F.col("line"), "raw_events": F.array("line")})))
+        return found.select(*lines.columns, gate.known(graph.context_struct()).alias("known"))
+
+    return once_each(generations(spark, sf_dir), ["line"], told).drop("line")
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.evaluate_actions(grounded(spark, sf_dir), YEAR, context="context")
+    return evaluation.evaluate_actions(grounded(spark, sf_dir), YEAR, ground="known")
 
 
 @query(oracle.PARSED + " SELECT model, record_index, action_index, action_type, array_to_string(targets, '|') AS target, array_to_string(commands, '|') AS command, precondition, risk, rollback, array_to_string(evidence, '|') AS evidence, source_action, source_explanation FROM acts")
@@ -199,7 +201,7 @@ def action_type_distribution(spark, sf_dir):
 @query(oracle.GATE + " SELECT model, record_index, action_index, f.category AS category, f.severity AS severity, f.message AS message, f.evidence AS evidence FROM (SELECT model, record_index, action_index, unnest(findings) AS f FROM judged) x")
 def gate_findings(spark, sf_dir):
     """Every finding of every action (GATE1 to GATE9)."""
-    found = gate.validate(grounded(spark, sf_dir), YEAR, context="context")
+    found = gate.validate(grounded(spark, sf_dir), YEAR, ground="known")
     return exploded(found, "findings", "f", "model", "record_index", "action_index").select("model", "record_index", "action_index", "f.*")
 
 
@@ -214,14 +216,14 @@ FROM (SELECT model, record_index FROM gens) v LEFT JOIN marked m ON m.model = v.
 def gate_decisions(spark, sf_dir):
     """The gate's decision on every generation (GATE10 to GATE13)."""
     rows = grounded(spark, sf_dir).withColumn("key", F.struct("model", "record_index"))
-    found = gate.process(rows, "key", YEAR, context="context")
+    found = gate.process(rows, "key", YEAR, ground="known")
     n = F.size("actions") + F.size("blocked_actions")
     return found.select("key.model", "key.record_index", "accepted", n.cast("long").alias("n_actions"), F.size("blocked_actions").cast("long").alias("n_blocked"), "summary")
 
 
 @query(oracle.GATE + " SELECT model, f.category AS category, f.severity AS severity, f.message AS message, count(*) AS n FROM (SELECT model, unnest(findings) AS f FROM judged) x GROUP BY ALL")
 def gate_summary(spark, sf_dir):
-    found = exploded(gate.validate(grounded(spark, sf_dir), YEAR, context="context"), "findings", "f", "model")
+    found = exploded(gate.validate(grounded(spark, sf_dir), YEAR, ground="known"), "findings", "f", "model")
     return found.select("model", "f.category", "f.severity", "f.message").groupBy("model", "category", "severity", "message").agg(count())
 
 
@@ -247,7 +249,7 @@ def model_comparison(spark, sf_dir):
     """Both models over the same prompts: pairing is checked, then rates are compared (AGG11, AGG12, JN8, JN9)."""
     rows = grounded(spark, sf_dir)
     baseline, candidate = (rows.where(F.col("model") == m).drop("model") for m in ("baseline", "candidate"))
-    return evaluation.compare_models(baseline, candidate, YEAR, context="context")
+    return evaluation.compare_models(baseline, candidate, YEAR, ground="known")
 
 
 @query(

@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlog.runtime import spread
+from emberlog.runtime import dealt
 
 LOG_LINES = """
 SELECT concat('inc-', user_id, '-', cast(cast(ts AS date) AS string)) AS incident_id, event_id AS line_no,
@@ -60,15 +60,18 @@ _NAME = re.compile(r"@(events|orders|customer|documents|pages)\b")
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A view's rows in Spark; its tables are registered under names of their own."""
+    """A view's rows in Spark; its tables are registered under names of their own.
+
+    The tables' rows are dealt before the view makes texts of them, when only the columns it reads go along.
+    """
     tag = hashlib.md5(sf_dir.encode()).hexdigest()[:10]
 
     def named(m: re.Match) -> str:
         name = f"emberlog_{tag}_{m[1]}"
-        spark.read.parquet(f"{sf_dir}/{m[1]}.parquet").createOrReplaceTempView(name)
+        dealt(spark.read.parquet(f"{sf_dir}/{m[1]}.parquet")).createOrReplaceTempView(name)
         return name
 
-    return spread(spark.sql(_NAME.sub(named, sql)))
+    return spark.sql(_NAME.sub(named, sql))
 
 
 def plain(sql: str) -> str:

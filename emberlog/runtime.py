@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +76,35 @@ def exploded(df: DataFrame, column: str, name: str, *kept: str, place: str | Non
     return df.select(*[F.col(f"`{c}`") for c in kept], made).where(F.col(f"`{name}`").isNotNull())
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df's rows dealt evenly over four partitions a core, or as many as the input has splits if those are more.
+
+    For tables of narrow rows that cost much each: how many splits an input has doesn't tell how its rows lie, since a
+    file of few row groups leaves most of its splits empty.
+    """
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
+#: Rows for each distinct value from which computing once for each value and joining pays.
+REPEATS = 4
+
+
+def once_each(df: DataFrame, keys: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(df), where make keeps the rows' columns and what it adds depends on the key columns alone.
+
+    Where rows repeat, make runs once for each distinct key and all rows are joined with what it made; where they
+    don't, it runs on the rows as they are. One pass over the keys tells which. df is read more than once.
+    """
+    told = df.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*[F.col(f"`{k}`") for k in keys]))).first()
+    if told[0] < REPEATS * told[1]:
+        return make(df)
+    made = make(df.select(*[F.col(f"`{k}`") for k in keys]).distinct())
+    added = [c for c in made.columns if c not in keys]
+    table = materialize(made.select(*[F.col(f"`{k}`").alias(f"__of_{k}") for k in keys], *[F.col(f"`{c}`") for c in added]), "distinct")
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__of_{k}`")) for k in keys])
+    return df.join(table, same).select(*[F.col(f"`{c}`") for c in (*df.columns, *added)])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores; as it is where the input has that many splits."""
     cores = df.sparkSession.sparkContext.defaultParallelism
