@@ -77,12 +77,33 @@ def _boundary(rest: str, ignore_case: bool) -> str:
     return f"(?-iu:(?=[{listed}])){before}"
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The pattern cut at the bars outside groups and classes."""
+    cuts, depth, inside, i = [-1], 0, False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside or c == "[":
+            inside = c != "]"
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            cuts.append(i)
+        i += 1
+    return [pattern[a + 1 : b] for a, b in zip(cuts, [*cuts[1:], len(pattern)], strict=True)]
+
+
 def java(pattern: str, ignore_case: bool = False) -> str:
     r"""A Python pattern for Java: \b, \d, \s and $ get Python's meaning.
 
     A repeated class before a literal that it lacks takes all it can at once (possessive), which
     changes no match and keeps long runs linear.
     """
+    ways = _alternatives(pattern)
+    if len(ways) > 1:
+        made = "|".join(java(w) if not ignore_case else java(w, True).removeprefix("(?iu)") for w in ways)
+        return f"(?iu){made}" if ignore_case else made
     out, inside, i = [], False, 0
     while i < len(pattern):
         c = pattern[i]

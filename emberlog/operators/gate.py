@@ -74,8 +74,7 @@ def cve_findings(text: Column, trusted: Column, as_of_year: int, require_match:
         doubtful = (F.size(trusted) > 0) & ~F.array_contains(trusted, cve) if require_match else F.lit(False)
         return F.when((year < dims.FIRST_CVE_YEAR) | (year > as_of_year + 1), far).when(doubtful, unknown)
 
-    found = F.concat(malformed, let(trusted, lambda t: F.array_compact(F.transform(named, lambda cve: judged(cve, t)))))
-    return F.when(text.rlike("(?iu)CVE-"), found).otherwise(_none())
+    return F.concat(malformed, let(trusted, lambda t: F.array_compact(F.transform(named, lambda cve: judged(cve, t)))))
 
 
 def with_heads(df: DataFrame, commands: Column, into: str) -> DataFrame:

@@ -9,35 +9,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import dims
-from emberlog.functions.textfx import contains_any, distinct_values, extract_all, groups_present, java, let, strip
-
-#: A text that lacks the guard has no match of the pattern.
-_GUARDS = {
-    "ipv4": r"\p{Nd}\.\p{Nd}",
-    "ipv6": ":[0-9A-Fa-f]",
-    "domain": r"[0-9A-Za-z-]\.[A-Za-z]",
-    "url": "://",
-    "email": "@",
-    "sha256": "[0-9A-Fa-f]{64}",
-    "sha1": "[0-9A-Fa-f]{40}",
-    "md5": "[0-9A-Fa-f]{32}",
-    "file_path": r":\\|/[0-9A-Za-z._-]+/",
-}
-#: type, pattern, guard, in the order of results.
+from emberlog.functions.textfx import contains_any, distinct_values, extract_all, groups_present, guarded, java, let, strip
+
+#: A text that lacks all of these has no match of the pattern. Patterns of hashes fail quickly by themselves.
+_GUARDS = {"ipv4": (".",), "ipv6": (":",), "domain": (".",), "url": ("://",), "email": ("@",), "sha256": (), "sha1": (), "md5": (), "file_path": ("/", ":\\")}
+#: type, pattern, guards, in the order of results.
 IOC_RULES = tuple((kind, java(p), _GUARDS[kind]) for kind, p in dims.IOC_PATTERNS.items())
 CVE = java(dims.CVE_PATTERN, True)
 ASSETS = tuple(java(p, True) for p in dims.ASSET_PATTERNS)
 IOC_TYPE = "array<struct<type:string,value:string>>"
 
 
-def _found(text: Column, pattern: str, guard: str) -> Column:
-    present = F.contains(text, F.lit(guard)) if guard in ("@", "://") else text.rlike(guard)
-    return F.when(present, distinct_values(extract_all(text, pattern))).otherwise(F.array().cast("array<string>"))
+def _found(text: Column, pattern: str, guards: tuple[str, ...]) -> Column:
+    values = distinct_values(extract_all(text, pattern))
+    return guarded(contains_any(text, guards), values) if guards else values
 
 
 def ioc_arrays(text: Column) -> dict[str, Column]:
     """Of each indicator type the distinct values, in order of appearance, before domains are sifted."""
-    return {kind: _found(text, pattern, guard) for kind, pattern, guard in IOC_RULES}
+    return {kind: _found(text, pattern, guards) for kind, pattern, guards in IOC_RULES}
 
 
 def url_hosts(urls: Column) -> Column:
@@ -64,8 +54,7 @@ def with_iocs(df: DataFrame, text_col: str = "text", into: str = "iocs") -> Data
 
 
 def extract_cves(text: Column) -> Column:
-    found = F.transform(extract_all(text, CVE), F.upper)
-    return F.when(text.rlike("(?iu)CVE-"), distinct_values(found)).otherwise(F.array().cast("array<string>"))
+    return distinct_values(F.transform(extract_all(text, CVE), F.upper))
 
 
 def extract_assets(text: Column) -> Column:

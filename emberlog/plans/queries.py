@@ -112,9 +112,13 @@ def kg_edges(spark, sf_dir):
 @query(oracle.LOGS + oracle.GRAPH + " SELECT depth, graph_id, (SELECT count(*) FROM nodes n WHERE n.graph_id = g.graph_id AND lv <= depth) AS n_nodes, (SELECT count(*) FROM edges e WHERE e.graph_id = g.graph_id AND lv <= depth) AS n_edges FROM n_of g, (VALUES (0), (1), (2), (3)) AS d(depth)")
 def kg_depths(spark, sf_dir):
     """Sizes of the retrieved context at depths 0 to 3 (KG4 in closed form)."""
-    found = materialize(log_incidents(spark, sf_dir), "incidents")
-    parts = [graph.with_graph(found, d).select(F.lit(d).alias("depth"), F.col("incident_id").alias("graph_id"), F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges")) for d in range(4)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    rows = log_incidents(spark, sf_dir)
+    sizes = [F.struct(F.size("nodes").cast("long").alias("n_nodes"), F.size("edges").cast("long").alias("n_edges")).alias(f"at_{d}") for d in range(graph.LEVELS + 1)]
+    for d, size in enumerate(sizes):
+        rows = graph.with_graph(rows, d).select("*", size).drop("nodes", "edges")
+    each = F.array(*[F.struct(F.lit(d).alias("depth"), F.col(f"at_{min(d, graph.LEVELS)}").alias("n")) for d in range(4)])
+    found = rows.select(F.col("incident_id").alias("graph_id"), F.explode_outer(each).alias("x"))
+    return found.select("x.depth", "graph_id", "x.n.n_nodes", "x.n.n_edges")
 
 
 @query(
@@ -127,11 +131,11 @@ SELECT 'edge', source, relation, target FROM shared WHERE source IN (SELECT id F
 )
 def kg_shared_neighbors(spark, sf_dir):
     """Breadth-first retrieval in the graph that all incidents share, from its web assets (KG4, JN7)."""
-    found = materialize(graph.with_graph(log_incidents(spark, sf_dir)), "graphs")
-    nodes = graph.node_table(found).select("id", "type", "name").dropDuplicates(["id"])
-    edges = graph.edge_table(found).select("source", "relation", "target").dropDuplicates()
+    found = materialize(graph.with_graph(log_incidents(spark, sf_dir)).select("incident_id", "nodes", "edges"), "graphs")
+    nodes = graph.node_table(found)
+    edges = materialize(graph.shared_edges(found), "edges")
     seeds = nodes.where("type = 'asset' and name like 'web-%'").select("id")
-    near, picked = graph.neighbors(nodes, edges, seeds, 2)
+    near, picked = graph.neighbors(nodes.select("id").distinct(), edges, seeds, 2)
     return near.select(F.lit("node").alias("what"), F.col("id").alias("source"), F.lit("").alias("relation"), F.lit("").alias("target")).unionByName(picked.select(F.lit("edge").alias("what"), "source", "relation", "target"))
 
 

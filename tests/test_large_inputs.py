@@ -2,6 +2,7 @@
 
 import json
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from emberlog import runtime
 from emberlog.functions import dims
 from emberlog.functions.textfx import java, strip
-from emberlog.operators import actions, gate
+from emberlog.operators import actions, gate, graph, incident
 from emberlog.plans import views
 
 TEXTS = ['{"Action": "Delete `rm -rf / ` now", "Explanation": "CVE-2999-1234"}', "[]", None, "", "Block host a. Restore later; if risk grows, escalate.", '[{"action": "x", "command": "grep \'y"}, {"text": "z"}]']
@@ -69,3 +70,23 @@ def test_flat_items_with_names_that_differ_in_case(spark):
     rows = spark.createDataFrame([(json.dumps(k), t) for k, t in enumerate(texts)], "k string, generation string")
     got = {r.k: r["items"][0] for r in actions.with_items(rows).collect()}
     assert (got["0"].source_action, got["0"].command) == ("b", "a") and got["1"].source_action == "b" and (got["2"].risk, got["2"].rollback, got["2"].target) == ("r", "", "x")
+
+
+def test_edges_of_a_large_incident_are_not_compared_pair_by_pair(spark):
+    n = 60_000
+    texts = lambda kind: F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.concat(F.lit(kind), (k % (n - 1)).cast("string")))
+    none = F.array().cast("array<string>")
+    iocs = F.transform(texts("d"), lambda v: F.struct(F.lit("domain").alias("type"), v.alias("value")))
+    rows = spark.range(1).select(F.lit("i").alias("incident_id"), F.lit("s").alias("summary"), F.lit("low").alias("severity"), texts("CVE-").alias("cves"), none.alias("assets"), none.alias("services"), iocs.alias("iocs"), none.alias("attack_stages"))
+    began = time.time()
+    row = graph.with_graph(rows).first()
+    assert time.time() - began < 20  # 7 billion comparisons otherwise
+    edges = [tuple(e) for e in row.edges]
+    assert len(row.nodes) == 2 * (n - 1) + 1 and len(edges) == 2 * (n - 1) and edges == sorted(set(edges)) and [x.id for x in row.nodes] == sorted(x.id for x in row.nodes)
+
+
+def test_edges_that_graphs_share_stand_once(spark):
+    lines = [(f"i{k}", 0, "exploit CVE-2023-1111 host=m-01 http service exfil upload") for k in range(3)]
+    found = graph.with_graph(incident.parse_lines(spark.createDataFrame(lines, "incident_id string, line_no int, line string")))
+    every = Counter(tuple(r) for r in graph.shared_edges(found).collect())
+    assert set(every.values()) == {1} and set(every) == {tuple(r) for r in graph.edge_table(found).drop("graph_id").collect()}
