@@ -12,6 +12,7 @@ from emberlog.operators.graph import EDGE, NODE
 from emberlog.operators.incident import IOC_TYPE
 from emberlog.operators.training import limited, require_valid
 from emberlog.runtime import ensure_importable
+from emberlog.sources.writers import DOCUMENT, SECTIONS, section_line
 
 INCIDENT = f"incident_id string, observed_at string, summary string, iocs {IOC_TYPE}, cves array<string>, assets array<string>, services array<string>, attack_stages array<string>, severity string, source string, raw_events array<string>"
 CONTEXT = f"struct<incident:struct<{', '.join(f'{a}:{b}' for a, b in (x.split(' ', 1) for x in INCIDENT.split(', ')))}>,nodes:array<{NODE}>,edges:array<{EDGE}>,recommendations:array<string>,prompt_context:string>"
@@ -82,10 +83,61 @@ def evaluation_lines(spark: SparkSession, path: str, index: str) -> DataFrame:
     return _as_records(lines.select(at.alias("record_index"), over_texts(lambda t: [record_fields(json.loads(t))], RECORD, F.col("value"))[0].alias("r")))
 
 
+def _document_of_lines(spark: SparkSession, path: str) -> str | None:
+    """The file of a corpus document that has each value on a line of its own, as `corpus_document` writes it; else None."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    name = path if fs.getFileStatus(fs_path(path)).isFile() else f"{path}/{DOCUMENT}"
+    start = section_line("instruction", True) + "\n"
+    if not fs.exists(fs_path(name)) or fs.getFileStatus(fs_path(name)).getLen() < len(start):
+        return None
+    opened = fs.open(fs_path(name))
+    try:
+        return name if "".join(chr(opened.readUnsignedByte()) for _ in start) == start else None
+    finally:
+        opened.close()
+
+
+def _lines_of_document(spark: SparkSession, name: str) -> DataFrame | None:
+    """The rows of such a document, read in splits; None if its lines turn out otherwise."""
+    # A line's number is its place in its split plus the lines of the splits before. Ids run without gaps within a split.
+    raw = spark.read.text(name, lineSep="\n").select(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+    marks = {section_line(c, not k): c for k, c in enumerate(SECTIONS)} | {"]]}": None}
+    splits = raw.groupBy("split").agg(F.min("id").alias("first"), F.count("*").alias("n")).orderBy("split").collect()
+    before, total = [], 0
+    for r in splits:
+        before.append((r["split"], total - r["first"]))
+        total += r["n"]
+    offset = F.create_map(*[F.lit(x) for pair in before for x in pair])
+    numbered = raw.select((F.col("id") + F.element_at(offset, F.col("split"))).alias("line"), "value")
+    found = sorted((r["line"], marks[r["value"]]) for r in numbered.where(F.col("value").isin(*marks)).collect())
+    names = [c for _, c in found[:-1]]
+    if names[:2] != ["instruction", "answer"] or names[2:] not in ([], ["metadata"]) or found[-1] != (total - 1, None):
+        return None
+    sizes = [b - a - 1 for (a, _), (b, _) in zip(found, found[1:], strict=False)]
+    if len(set(sizes)) > 1:
+        raise ValueError("instructions and answers differ in length")
+    rows = None
+    for (start, c), n in zip(found[:-1], sizes, strict=True):
+        own = numbered.where((F.col("line") > start) & (F.col("line") <= start + n)).select((F.col("line") - start - 1).alias("source_index"), F.concat(F.lit('{"v":'), F.ltrim(F.col("value"), F.lit(",")), F.lit("}")).alias("v"))
+        kind = "v string"
+        if c == "metadata":
+            kind = spark.read.json(own.select("v").rdd.map(lambda r: r[0])).schema
+        part = own.select("source_index", F.from_json("v", kind)["v"].alias(c)) if n else own.select("source_index", F.lit(None).cast("string").alias(c))
+        rows = part if rows is None else rows.join(part, "source_index")
+    return rows
+
+
 def training_json(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(source_index, instruction, answer[, metadata]) of the three corpus shapes: nested arrays, flat arrays, a list of objects."""
+    """(source_index, instruction, answer[, metadata]) of the three corpus shapes: nested arrays, flat arrays, a list of objects.
+
+    A nested document with each value on its own line is read in splits; any other is one row of one task.
+    """
     if not _exists(spark, path):
         raise FileNotFoundError(path)
+    name = _document_of_lines(spark, path)
+    if name and (rows := _lines_of_document(spark, name)) is not None:
+        return limited(rows, limit)
     found = spark.read.json(path, multiLine=True)
     names = {"instructions": "instruction", "answers": "answer", "metadata": "metadata"}
     if {"instructions", "answers"} <= set(found.columns):

@@ -13,6 +13,7 @@ from emberlog.functions import dims
 from emberlog.functions.textfx import java, strip
 from emberlog.operators import actions, gate, graph, incident
 from emberlog.plans import views
+from emberlog.sources import readers, writers
 
 TEXTS = ['{"Action": "Delete `rm -rf / ` now", "Explanation": "CVE-2999-1234"}', "[]", None, "", "Block host a. Restore later; if risk grows, escalate.", '[{"action": "x", "command": "grep \'y"}, {"text": "z"}]']
 
@@ -90,3 +91,25 @@ def test_edges_that_graphs_share_stand_once(spark):
     found = graph.with_graph(incident.parse_lines(spark.createDataFrame(lines, "incident_id string, line_no int, line string")))
     every = Counter(tuple(r) for r in graph.shared_edges(found).collect())
     assert set(every.values()) == {1} and set(every) == {tuple(r) for r in graph.edge_table(found).drop("graph_id").collect()}
+
+
+def test_corpus_document_is_written_and_read_in_parts(spark, tmp_path):
+    texts = ["plain", 'q"\\\n\r\t\x01é😀 \x85', "", ",,lead", None, "]]}", '{"instructions": [[', "null", " x "]
+    rows = [(k * 2, texts[k % len(texts)], texts[(k + 1) % len(texts)], (k, texts[k % 3])) for k in range(300)]
+    frame = spark.createDataFrame(rows, "source_index long, instruction string, answer string, metadata struct<n:long,t:string>").repartition(7)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for columns in (["source_index", "instruction", "answer", "metadata"], ["source_index", "instruction", "answer"]):
+        writers.corpus_document(frame.select(*columns), str(tmp_path / "c"))
+        made = json.loads((tmp_path / "c" / "document.json").read_text(encoding="utf-8"))
+        assert made["instructions"] == [[r[1] for r in rows]] and made["answers"] == [[r[2] for r in rows]]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        try:
+            found = readers.training_json(spark, str(tmp_path / "c"))
+            assert sorted(map(tuple, found.select("source_index", "instruction", "answer").collect())) == [(k, r[1], r[2]) for k, r in enumerate(rows)]
+            if "metadata" in columns:
+                assert {r.source_index: (r.metadata.n, r.metadata.t) for r in found.collect()} == {k: r[3] for k, r in enumerate(rows)}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert readers.training_json(spark, str(tmp_path / "c"), 3).count() == 3
+    writers.corpus_document(frame.limit(0), str(tmp_path / "none"))
+    assert readers.training_json(spark, str(tmp_path / "none")).count() == 0
