@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import dims
 from emberlog.functions.textfx import contains_any, distinct_values, extract_all, groups_present, guarded, java, let, strip
+from emberlog.runtime import by_key
 
 #: A text that lacks all of these has no match of the pattern. Patterns of hashes fail quickly by themselves.
 _GUARDS = {"ipv4": (".",), "ipv6": (":",), "domain": (".",), "url": ("://",), "email": ("@",), "sha256": (), "sha1": (), "md5": (), "file_path": ("/", ":\\")}
@@ -96,8 +97,11 @@ def incidents(events: DataFrame, observed_at: str = "", source: str = "log_parse
 
 
 def parse_lines(lines: DataFrame, observed_at: str = "") -> DataFrame:
-    """lines(incident_id, line_no, line) to one incident for each id; blank lines are dropped, order is by line_no."""
-    kept = lines.select("incident_id", "line_no", strip(F.col("line")).alias("line"))
+    """lines(incident_id, line_no, line) to one incident for each id; blank lines are dropped, order is by line_no.
+
+    Lines are few bytes but costly, so they are dealt by id over many partitions, which Spark doesn't join by their bytes.
+    """
+    kept = by_key(lines.select("incident_id", "line_no", strip(F.col("line")).alias("line")), "incident_id")
     grouped = kept.groupBy("incident_id").agg(F.array_sort(F.collect_list(F.when(F.col("line") != "", F.struct("line_no", "line")))).alias("l"))
     return incidents(grouped.select("incident_id", F.transform("l", lambda x: x["line"]).alias("raw_events")), observed_at)
 

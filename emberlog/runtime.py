@@ -85,6 +85,11 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """df with the rows of each key together, over four partitions a core; more would cost, as every task compiles its patterns."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 #: Rows for each distinct value from which computing once for each value and joining pays.
 REPEATS = 4
 
